@@ -23,6 +23,25 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(_table(spark, sf_dir, "documents"), window=20)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.mixing import mix_counts
+
+    return mix_counts(_table(spark, sf_dir, "documents"))
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.url_rules import judge
+
+    labels = _table(spark, sf_dir, "labels").selectExpr("doc_id as id", "toxic = 1 as blocked")
+    return judge(_table(spark, sf_dir, "pages"), labels)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,11 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op10_token_counts)}
-
-
-ORACLE: dict[str, str] = {}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op4_mixing, op7_url_rules, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from quadrille.llm.mixing import MIX_SQL
+
+    return {"op4_mixing": MIX_SQL}
