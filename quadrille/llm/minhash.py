@@ -8,9 +8,10 @@ whole sequence is its one shingle; without words it has none and is linked with
    signature values. Each band joins ``rows`` values of different permutations.
 3. Documents that share a band are linked to the band's smallest one if 100 * |intersection| >= percent * |union|
    holds on the full sets: a star for each band, never all its pairs.
-4. Bands that still hold more than one component are settled exactly: the documents in them are indexed by the
-   rarest shingles of each set (any linked pair shares one within the first |set| - ceil(percent * |set|) + 1), and
-   pairs of different components are verified.
+4. While a band holds several components, another of its documents becomes the centre of a star, until a round finds
+   no link. What is still apart then is settled exactly: documents are indexed by the rarest shingles of each set
+   (any linked pair shares one within the first |set| - ceil(percent * |set|) + 1), their places bound the
+   intersection, and the pairs of different components that may be similar are verified.
 5. Components of the links, on class representatives.
 
 With the standard figures (24 bands of 5) a pair at the threshold of 0.85 shares no band with probability 7e-7, at
@@ -136,12 +137,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = saved(_linked(stars, sets, percent))
     label = components(links)
 
-    # bands in which some documents are still apart
-    named = shared.join(label, shared["rep"] == label["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
-    open_bands = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    apart = saved(named.join(open_bands, "band").select("rep", "c").distinct())
-    more = _by_rarest(apart, sets, percent)
-    more = saved(_linked(more.join(stars, ["a", "b"], "left_anti"), sets, percent))
+    tried = stars
+    while True:  # stars around other documents of the bands in which some are still apart
+        apart = saved(_apart(shared, label))
+        others = apart.groupBy("band").agg(F.max_by("rep", F.xxhash64("c")).alias("hub"), F.max_by("c", F.xxhash64("c")).alias("hub_c"))
+        more = apart.join(others, "band").where("c <> hub_c").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+        more = saved(more.join(tried, ["a", "b"], "left_anti"))
+        found = saved(_linked(more, sets, percent))
+        if not found.limit(1).count():
+            break
+        tried, links = tried.unionAll(more), links.unionAll(found)
+        label = components(links)
+    more = _by_rarest(apart.select("rep", "c").distinct(), sets, percent)
+    more = saved(_linked(more.join(tried, ["a", "b"], "left_anti"), sets, percent))
     if more.limit(1).count():
         links = links.unionAll(more)
         label = components(links)
@@ -155,20 +163,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
+def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(band, rep, c) of the bands whose documents lie in several components."""
+    named = shared.join(label, shared["rep"] == label["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
+    split = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
+    return named.join(split, "band")
+
+
 def _by_rarest(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a < b) of different components: every similar pair shares one of the rarest shingles of both.
 
-    For a token that several components share, each component's smallest holder meets the other components' holders;
-    holders of one component never meet."""
-    tokens = apart.join(sets, apart["rep"] == sets["id"]).select("rep", "c", F.size("keys").alias("n"), F.explode("keys").alias("t"))
-    df = tokens.groupBy("t").agg(F.count("*").alias("df"))
-    order = F.array_sort(F.collect_list(F.struct("df", "t")))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
-    ranked = tokens.join(df, "t").groupBy("rep", "c", "n").agg(order.alias("ts"))
-    heads = ranked.select("rep", "c", "n", F.explode(F.slice("ts", F.lit(1), prefix.cast("int"))).alias("x")).select("rep", "c", "n", F.col("x.t").alias("t"), F.col("x.df").alias("df")).where("df > 1")
+    Sets are put in the order of rarity. Where both sets hold their first shared shingle, what comes before is not
+    shared, so the places bound the intersection; a set with too many shingles of its own meets nobody."""
+    tokens = apart.join(sets, apart["rep"] == sets["id"]).select("rep", "c", F.size("keys").alias("n"), F.explode_outer("keys").alias("t"))
+    df = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles of one document alone only count: they come first in its order
+    ranked = tokens.join(df, "t").groupBy("rep", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("ts")).where(100 * F.size("ts").cast("long") >= percent * F.col("n").cast("long"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9).cast("int") + 1 - F.col("alone")
+    heads = ranked.where(prefix > 0).select("rep", "c", "n", "alone", F.posexplode_outer(F.slice("ts", F.lit(1), prefix)).alias("i", "x"))
+    heads = heads.select("rep", "c", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("x.t").alias("t"))
     mixed = heads.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
     heads = saved(heads.join(mixed, "t"))
-    other = heads.select("t", F.col("rep").alias("rep2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
-    fits = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("c") < F.col("c2"))
-    pairs = heads.join(other, "t").where(fits)
+    other = heads.select("t", F.col("rep").alias("rep2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("left").alias("left2"))
+    enough = (100 + percent) * F.least("left", "left2").cast("long") >= percent * (F.col("n") + F.col("n2")).cast("long")
+    pairs = heads.join(other, "t").where((F.col("c") < F.col("c2")) & enough)
     return pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
