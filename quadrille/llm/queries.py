@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,15 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.language_id import fit, predict
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = predict(docs, fit(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.substring_dedup import passages
 
@@ -36,6 +46,12 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), labels)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.decontaminate import contaminated
 
@@ -51,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op4_mixing, op7_url_rules, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_substring_dedup, op4_mixing, op7_url_rules, op8_html_extraction, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
