@@ -39,6 +39,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_table(spark, sf_dir, "documents"))
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.context_tree import scores
+
+    return scores(_table(spark, sf_dir, "documents"), lambda i: F.crc32(i.cast("string").cast("binary")) % 5 != 1)
+
+
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.mpeg_audio import digest
 
@@ -73,7 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_substring_dedup, op4_mixing, op6_mpeg_audio, op7_url_rules, op8_html_extraction, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_language_id, op3_substring_dedup, op4_mixing, op5_context_tree, op6_mpeg_audio, op7_url_rules, op8_html_extraction, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
