@@ -38,13 +38,14 @@ def shares(sizes: DataFrame, percent: int = 100) -> DataFrame:
     place = F.row_number().over(Window.orderBy("_nosrc", "_src")) - 1
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int")).cast("long")
     ranked = totals.withColumn("_w", weight)
-    # a source whose limit divided by weight is the least runs out first
+    # a source whose limit divided by weight is the least runs out first; the first level that its source does not
+    # reach is the one, and those after it are no higher
     before = Window.orderBy(F.col("_s") * REPEATS / F.col("_w"), "_nosrc", "_src").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     left = F.sum("_s").over(every) * percent / 100 - F.coalesce(F.sum(F.col("_s") * REPEATS).over(before), F.lit(0))
     level = left / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
     ranked = ranked.withColumn("_try", level).withColumn("_ratio", F.col("_s") * REPEATS / F.col("_w"))
-    ranked = ranked.withColumn("_level", F.min(F.when(F.col("_try") <= F.col("_ratio"), F.col("_try"))).over(every))
+    ranked = ranked.withColumn("_level", F.max(F.when(F.col("_try") <= F.col("_ratio"), F.col("_try"))).over(every))
     full = F.coalesce(F.col("_ratio") < F.col("_level"), F.lit(True))
     return ranked.select("_src", "_nosrc", "_s", "_rows", "_w", F.coalesce("_level", F.lit(float("inf"))).alias("_level"), F.when(full, (F.col("_s") * REPEATS).cast("double")).otherwise(F.col("_w") * F.col("_level")).alias("_target"))
 
@@ -96,7 +97,7 @@ t as (select src, nosrc, sum(size)::bigint as s from d group by 1, 2),
 w as (select *, [5, 2, 1][((row_number() over (order by nosrc, src) - 1) % 3 + 1)::int]::bigint as w from t),
 r as (select *, (s * 3)::double / w as ratio from w),
 b as (select *, (sum(s) over ()::double * 100 / 100 - coalesce(sum(s * 3) over (order by ratio, nosrc, src rows between unbounded preceding and 1 preceding), 0)::double) / (sum(w) over () - coalesce(sum(w) over (order by ratio, nosrc, src rows between unbounded preceding and 1 preceding), 0))::double as try from r),
-l as (select *, min(case when try <= ratio then try end) over () as level from b),
+l as (select *, max(case when try <= ratio then try end) over () as level from b),
 p as (select src, nosrc, s, w, coalesce(level, 'infinity'::double) as level, case when coalesce(ratio < level, true) then (s * 3)::double else w * level end as target from l),
 c as (select d.*, p.s, p.w, p.level, p.target, 2 * sum(size) over (partition by d.src, d.nosrc order by h, doc_id nulls first, size rows between unbounded preceding and current row) - size as "at" from d join p on d.src = p.src and d.nosrc = p.nosrc)
 select doc_id, size, s as source_size, target, (case when size > 0 then size * (("at"::double / (2 * w) <= level)::int + (("at" + 2 * s)::double / (2 * w) <= level)::int + (("at" + 4 * s)::double / (2 * w) <= level)::int) else 0 end)::bigint as taken, "at"::double / (2 * w) as virtual_finish from c
