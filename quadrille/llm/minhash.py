@@ -140,17 +140,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     tried = stars
     while True:  # stars around other documents of the bands in which some are still apart
         apart = saved(_apart(shared, label))
-        others = apart.groupBy("band").agg(F.max_by("rep", F.xxhash64("c")).alias("hub"), F.max_by("c", F.xxhash64("c")).alias("hub_c"))
-        more = apart.join(others, "band").where("c <> hub_c").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+        more = apart.where("c <> hub_c").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
         more = saved(more.join(tried, ["a", "b"], "left_anti"))
         found = saved(_linked(more, sets, percent))
-        if not found.limit(1).count():
+        if found.isEmpty():
             break
         tried, links = tried.unionAll(more), links.unionAll(found)
         label = components(links)
     more = _by_rarest(apart.select("rep", "c").distinct(), sets, percent)
     more = saved(_linked(more.join(tried, ["a", "b"], "left_anti"), sets, percent))
-    if more.limit(1).count():
+    if not more.isEmpty():
         links = links.unionAll(more)
         label = components(links)
 
@@ -164,9 +163,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """(band, rep, c) of the bands whose documents lie in several components."""
+    """(band, rep, c, hub, hub_c) of the bands whose documents lie in several components, with one of their documents as hub."""
     named = shared.join(label, shared["rep"] == label["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
-    split = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
+    most = F.xxhash64("c")
+    split = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("rep", most).alias("hub"), F.max_by("c", most).alias("hub_c")).where("lo < hi").drop("lo", "hi")
     return named.join(split, "band")
 
 
