@@ -9,7 +9,7 @@ whole sequence is its one shingle; without words it has none and is linked with
 3. Documents that share a band are linked to the band's smallest one if 100 * |intersection| >= percent * |union|
    holds on the full sets: a star for each band, never all its pairs.
 4. While a band holds several components, another of its documents becomes the centre of a star, until a round finds
-   no link. What is still apart then is settled exactly: documents are indexed by the rarest shingles of each set
+   next to none. What is still apart then is settled exactly: documents are indexed by the rarest shingles of each set
    (any linked pair shares one within the first |set| - ceil(percent * |set|) + 1), their places bound the
    intersection, and the pairs of different components that may be similar are verified.
 5. Components of the links, on class representatives.
@@ -36,6 +36,8 @@ from quadrille.llm.components import components
 
 U = np.uint64
 BANDS, ROWS = 24, 5
+#: Rounds of stars end when they link fewer than one in so many of the documents still apart.
+FEW = 200
 PERMUTATIONS = BANDS * ROWS // 2
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * U(2) + U(1)
@@ -116,7 +118,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     n = F.size(F.array_intersect("ka", "kb")).cast("long")
     # sizes alone rule out a pair whose smaller set is too small
     fits = 100 * F.least(F.size("ka"), F.size("kb")).cast("long") >= percent * F.greatest(F.size("ka"), F.size("kb")).cast("long")
-    both = pairs.join(left, "a").join(right, "b").where(fits).withColumn("n", n)
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(fits).withColumn("n", n)
     return both.where(100 * F.col("n") >= percent * (F.size("ka") + F.size("kb") - F.col("n"))).select("a", "b")
 
 
@@ -129,11 +131,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     held = classes.select("rep", F.explode("bands").alias("band"))
     hubs = held.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("band", "hub")
-    shared = saved(held.join(hubs, "band"))  # bands of two documents or more
+    shared = saved(held.join(hubs.hint("merge"), "band"))  # bands of two documents or more
     stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
     wanted = shared.select(F.col("rep").alias("id")).distinct()
-    sets = saved(rows.join(wanted, "id", "left_semi").mapInArrow(_sets(k), "id long, keys array<long>").groupBy("id").agg(F.first("keys").alias("keys")))
+    sets = saved(rows.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_sets(k), "id long, keys array<long>").groupBy("id").agg(F.first("keys").alias("keys")))
     links = saved(_linked(stars, sets, percent))
     label = components(links)
 
@@ -141,16 +143,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     while True:  # stars around other documents of the bands in which some are still apart
         apart = saved(_apart(shared, label))
         more = apart.where("c <> hub_c").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-        more = saved(more.join(tried, ["a", "b"], "left_anti"))
+        more = saved(more.join(tried.hint("merge"), ["a", "b"], "left_anti"))
         found = saved(_linked(more, sets, percent))
-        if found.isEmpty():
-            break
+        n = found.count()
         tried, links = tried.unionAll(more), links.unionAll(found)
+        if n * FEW < apart.count():  # the last step finds what is left; more rounds would only make it smaller
+            break
         label = components(links)
     more = _by_rarest(apart.select("rep", "c").distinct(), sets, percent)
-    more = saved(_linked(more.join(tried, ["a", "b"], "left_anti"), sets, percent))
-    if not more.isEmpty():
-        links = links.unionAll(more)
+    more = saved(_linked(more.join(tried.hint("merge"), ["a", "b"], "left_anti"), sets, percent))
+    links = links.unionAll(more)
+    if n or not more.isEmpty():
         label = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
@@ -164,10 +167,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
     """(band, rep, c, hub, hub_c) of the bands whose documents lie in several components, with one of their documents as hub."""
-    named = shared.join(label, shared["rep"] == label["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
+    named = shared.join(label.hint("merge"), shared["rep"] == label["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
     most = F.xxhash64("c")
     split = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("rep", most).alias("hub"), F.max_by("c", most).alias("hub_c")).where("lo < hi").drop("lo", "hi")
-    return named.join(split, "band")
+    return named.join(split.hint("merge"), "band")
 
 
 def _by_rarest(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,7 +178,7 @@ def _by_rarest(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Sets are put in the order of rarity. Where both sets hold their first shared shingle, what comes before is not
     shared, so the places bound the intersection; a set with too many shingles of its own meets nobody."""
-    tokens = apart.join(sets, apart["rep"] == sets["id"]).select("rep", "c", F.size("keys").alias("n"), F.explode_outer("keys").alias("t"))
+    tokens = apart.join(sets.hint("merge"), apart["rep"] == sets["id"]).select("rep", "c", F.size("keys").alias("n"), F.explode_outer("keys").alias("t"))
     df = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     # shingles of one document alone only count: they come first in its order
     ranked = tokens.join(df, "t").groupBy("rep", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
