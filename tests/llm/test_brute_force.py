@@ -337,10 +337,10 @@ def test_urls(spark):
         fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits, default=(0, None, "allow"))
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[1], best[2])
-    labels = spark.createDataFrame([(i, "spam" in u) for i, u in enumerate(["x://spam.org/a/1"] * 20 + ["x://fine.org/a/1"] * 20)], "id long, blocked boolean")
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["x://spam.org/a/1"] * 20 + ["x://fine.org/a/1"] * 20 + ["x://sub.spam.org/z", "x://else.org/a/1"])], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "spam" in u) for i, u in enumerate(["x://spam.org/a/1"] * 20 + ["x://fine.org/a/1"] * 30)], "id long, blocked boolean")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["x://spam.org/a/1"] * 20 + ["x://fine.org/a/1"] * 30 + ["x://sub.spam.org/z", "x://else.org/a/1"])], "page_id long, url string")
     got = {r.page_id: r.verdict for r in judge(pages, labels).collect()}
-    assert got[0] == got[40] == "block" and got[20] == got[41] == "allow"
+    assert got[0] == got[50] == "block" and got[20] == got[51] == "allow"
     assert judge(pages.limit(0), labels).count() == 0 and judge(pages, labels.limit(0)).where("verdict = 'block'").count() == 0
 
 
