@@ -32,6 +32,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,9 @@ from quadrille.llm.checkpoints import saved
 PILOTS = 3
 CONSTANT_SHARE = 0.5
 BROADCAST_BYTES = 16 << 20
+#: Entries of a table of weights, and weights of pairs of nodes that are kept. They bound memory only. Tables of a
+#: few entries are made without numpy.
+TABLE, KEPT, FEW = 250_000, 1 << 20, 400
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _RAW = {k: re.compile(rf"</{k}\b[^>]*>?", re.I) for k in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes")}
@@ -178,22 +182,127 @@ def _outlined(page: str) -> str:
 
 
 def matched(a, b) -> Iterator[tuple[str, bool]]:
-    """(slot, same) of the pairs of texts in two outlines by simple tree matching: the largest number of pairs of
-    equally named nodes that keeps parents and order.
-
-    Of long rows of children, equal beginnings and ends are paired first and only what lies between is tabled; tables
-    of more than 250,000 entries pair the rest in turn."""
-    stack = [(a, b, "")]
+    """(slot, same) of the pairs of texts in two outlines by simple tree matching: the pairs of equally named nodes that
+    keep parents and order and weigh most, where a pair weighs 1 and equal texts 1 more."""
+    weights, stack = _Weights(), [(a, b, "")]
     while stack:
         x, y, path = stack.pop()
-        for u, v in _pairs(x[1], y[1]):
+        for u, v in _pairs(x[1], y[1], weights):
             if isinstance(u, list):
                 stack.append((u, v, f"{path}/{u[0]}" if path else u[0]))
             else:
                 yield path, u == v
 
 
-def _pairs(p: list, q: list) -> Iterator[tuple]:
+class _Weights:
+    """Weights of the best matchings of subtrees of two outlines.
+
+    Without a text in common, two subtrees weigh what their shapes (names only) do, which is worked out once per pair of
+    shapes; other pairs are matched child by child. What is kept of them is bounded by ``KEPT``."""
+
+    def __init__(self):
+        self.shapes: dict = {}
+        self.kinds: list = []
+        self.facts: dict[int, tuple[int, frozenset]] = {}
+        self.by_shape: dict[tuple[int, int], int] = {}
+        self.by_node: dict[tuple[int, int], int] = {}
+
+    def fact(self, root) -> tuple[int, frozenset]:
+        """(shape, texts) of a subtree."""
+        if id(root) not in self.facts:
+            order, stack = [], [root]
+            while stack:
+                node = stack.pop()
+                order.append(node)
+                if isinstance(node, list):
+                    stack += node[1]
+            for node in reversed(order):  # children first
+                if isinstance(node, list):
+                    under = [self.facts[id(x)] for x in node[1]]
+                    kind, texts = (node[0], tuple(x[0] for x in under)), frozenset().union(*(x[1] for x in under))
+                else:
+                    kind, texts = ("#", None), frozenset((node,))
+                if kind not in self.shapes:
+                    self.shapes[kind] = len(self.kinds)
+                    self.kinds.append(kind)
+                self.facts[id(node)] = self.shapes[kind], texts
+        return self.facts[id(root)]
+
+    def of(self, x, y) -> int:
+        """The weight of a pair of subtrees, at once if they hardly branch."""
+        above = 0
+        while isinstance(x, list) and isinstance(y, list):
+            if x[0] != y[0]:
+                return above
+            if not x[1] or not y[1]:
+                return above + 1
+            if len(x[1]) > 1 or len(y[1]) > 1:
+                return above + self.of_nodes(x, y)
+            above, x, y = above + 1, x[1][0], y[1][0]
+        return above + (0 if isinstance(x, list) or isinstance(y, list) else 1 + (x == y))
+
+    def of_shapes(self, s: int, t: int) -> int:
+        (name, p), (other, q) = self.kinds[s], self.kinds[t]
+        if name != other or (p is None) != (q is None):
+            return 0
+        if not p or not q:
+            return 1
+        if (s, t) not in self.by_shape:
+            distinct, at = np.unique(np.array(q), return_inverse=True)
+            rows = {x: np.array([self.of_shapes(x, int(y)) for y in distinct])[at] for x in set(p)}
+            self.by_shape[s, t] = 1 + int(_heaviest((rows[x] for x in p), len(q))[-1])
+        return self.by_shape[s, t]
+
+    def of_nodes(self, x, y) -> int:
+        (s, mine), (t, other) = self.fact(x), self.fact(y)
+        if mine.isdisjoint(other):
+            return self.of_shapes(s, t)
+        if not isinstance(x, list) or not isinstance(y, list):
+            return 2 if x == y else 0
+        if x[0] != y[0]:
+            return 0
+        key = id(x), id(y)
+        if key not in self.by_node:
+            row = self.rows(x[1], y[1])
+            found = 1 + int(_heaviest((row(i, 0, len(y[1])) for i in range(len(x[1]))), len(y[1]))[-1])
+            if len(self.by_node) >= KEPT:
+                self.by_node.clear()
+            self.by_node[key] = found
+        return self.by_node[key]
+
+    def rows(self, p: list, q: list):
+        """A function of i, low, high: the weights of p[i] with q[low:high]."""
+        distinct, at = np.unique(np.array([self.fact(y)[0] for y in q], int), return_inverse=True)
+        holders: dict[str, list[int]] = {}
+        for j, y in enumerate(q):
+            for text in self.fact(y)[1]:
+                holders.setdefault(text, []).append(j)
+        plain: dict[int, np.ndarray] = {}
+
+        def row(i: int, low: int, high: int) -> np.ndarray:
+            s, texts = self.fact(p[i])
+            if s not in plain:
+                plain[s] = np.array([self.of_shapes(s, int(t)) for t in distinct], int)
+            w = plain[s][at[low:high]]
+            for j in {j for text in texts for j in holders.get(text, ())}:
+                if low <= j < high:
+                    w[j - low] = self.of(p[i], q[j])
+            return w
+
+        return row
+
+
+def _heaviest(rows, width: int) -> np.ndarray:
+    """The weights of the best matchings of all rows with the first 0, 1, ... columns."""
+    best = np.zeros(width + 1, int)
+    for w in rows:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + w))
+    return best
+
+
+def _pairs(p: list, q: list, weights: _Weights) -> Iterator[tuple]:
+    """The pairs of two rows of children that weigh most. Equal beginnings and ends belong to a best matching; tables of
+    what lies between are halved until they have at most ``TABLE`` entries (Hirschberg)."""
     low, most = 0, min(len(p), len(q))
     while low < most and p[low] == q[low]:
         low += 1
@@ -203,18 +312,37 @@ def _pairs(p: list, q: list) -> Iterator[tuple]:
     yield from zip(p[:low], q[:low], strict=True)
     yield from zip(p[len(p) - high :], q[len(q) - high :], strict=True)
     p, q = p[low : len(p) - high], q[low : len(q) - high]
-    name = lambda x: x[0] if isinstance(x, list) else "#"
-    if len(p) * len(q) > 250_000:
-        yield from ((x, y) for x, y in zip(p, q, strict=False) if name(x) == name(y))
+    if not p or not q:
+        return
+    if len(p) * len(q) <= FEW:
+        small = [[0] * (len(q) + 1)]
+        for x in p:
+            above, line = small[-1], [0]
+            for t, y in enumerate(q):
+                line.append(max(above[t + 1], line[t], above[t] + weights.of(x, y)))
+            small.append(line)
+        yield from _traced(small, p, q)
         return
-    weight = lambda x, y: (1 + (x == y) + (min(len(x[1]), len(y[1])) if isinstance(x, list) else 0)) if name(x) == name(y) else 0
-    table = [[0] * (len(q) + 1)]
-    for x in p:
-        above, row = table[-1], [0]
-        for t, y in enumerate(q):
-            w = weight(x, y)
-            row.append(max(above[t + 1], row[t], above[t] + w if w else 0))
-        table.append(row)
+    row, stack = weights.rows(p, q), [(0, len(p), 0, len(q))]
+    while stack:
+        a, b, c, d = stack.pop()
+        if a == b or c == d:
+            continue
+        if b - a > 1 and (b - a) * (d - c) > TABLE:
+            m = (a + b) // 2
+            first = _heaviest((row(i, c, d) for i in range(a, m)), d - c)
+            last = _heaviest((row(i, c, d)[::-1] for i in range(b - 1, m - 1, -1)), d - c)
+            k = c + int(np.argmax(first + last[::-1]))
+            stack += (a, m, c, k), (m, b, k, d)
+            continue
+        table = [np.zeros(d - c + 1, int)]
+        for i in range(a, b):
+            w, above = row(i, c, d), table[-1]
+            table.append(np.concatenate(([0], np.maximum.accumulate(np.maximum(above[1:], above[:-1] + w)))))
+        yield from _traced(table, p[a:b], q[c:d])
+
+
+def _traced(table, p: list, q: list) -> Iterator[tuple]:
     s, t = len(p), len(q)
     while s and t:
         if table[s][t] == table[s - 1][t]:

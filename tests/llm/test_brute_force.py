@@ -363,6 +363,47 @@ def test_main_text(spark):
 # ---- 9
 
 
+def test_tree_matching_is_the_heaviest(monkeypatch):
+    from quadrille.llm import html_text
+
+    def weight(x, y):
+        if isinstance(x, str) or isinstance(y, str):
+            return 0 if isinstance(x, list) or isinstance(y, list) else 1 + (x == y)
+        if x[0] != y[0]:
+            return 0
+        table = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+        for i, u in enumerate(x[1]):
+            for j, v in enumerate(y[1]):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + weight(u, v))
+        return 1 + table[-1][-1]
+
+    def tree(r, depth):
+        return [r.choice("ab"), [r.choice("stuvw") if not depth or r.random() < 0.5 else tree(r, depth - 1) for _ in range(r.randrange(6))]]
+
+    r = random.Random(3)
+    for table, few in ((250_000, 400), (250_000, 0), (4, 0)):
+        monkeypatch.setattr(html_text, "TABLE", table)
+        monkeypatch.setattr(html_text, "FEW", few)
+        for _ in range(150):
+            x, y = ["r", tree(r, 3)[1]], ["r", tree(r, 3)[1]]
+            w = html_text._Weights()
+            pairs, stack = 0, [(x, y)]
+            while stack:
+                u, v = stack.pop()
+                pairs += 1 if isinstance(u, list) else 1 + (u == v)
+                stack += html_text._pairs(u[1], v[1], w) if isinstance(u, list) else []
+            assert w.of(x, y) == pairs == weight(x, y)
+
+
+def test_tree_matching_of_long_rows():
+    from quadrille.llm.html_text import matched
+
+    rows = lambda texts: ["#root", [["ul", [["li", [x]] for x in texts]]]]
+    same = [f"s{i}" for i in range(900)]
+    got = list(matched(rows(["x", *same, "y"]), rows([*same, "z", "end"])))
+    assert sum(x for _, x in got) == 900
+
+
 def test_decontamination(spark):
     from quadrille.llm.decontaminate import clean, contaminated
 
