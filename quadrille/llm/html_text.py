@@ -12,9 +12,12 @@ their tags agree, and the children of matching nodes are paired, in order, so th
    least half of all alignments is template for all its pages. Pages with equal html are left out of each other's
    counts, and a host with a single page has no template.
 4. Kinds of element that never hold the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-   styles, comments) are left out by tag, role, class or id. If the page has an ``article`` or ``main``, all that
-   is left in it is the text, even where copies of one article make it constant; other pages lose their template, unless
-   nothing but template stands on them.
+   styles, comments) are left out by tag, role, class or id.
+5. If the page has an ``article`` or ``main``, only text in it counts, and it is judged block by block: a text is template
+   of a slot if it is the same in at least half of the alignments of the pages that have it, and in ``LEAST``. Only pages
+   with different articles are compared, those whose equal blocks hold less than ``ALIKE`` of the shorter one's
+   characters, so copies of one article do not make it template. Other pages lose their template's slots. A page on
+   which nothing but template stands keeps it.
 
 Pilots and templates of all hosts are broadcast while they are at most ``BROADCAST_BYTES``, else joined by a shuffle.
 
@@ -41,6 +44,7 @@ from quadrille.llm.checkpoints import saved
 
 PILOTS = 3
 CONSTANT_SHARE = 0.5
+LEAST, ALIKE = 3, 2 / 3
 BROADCAST_BYTES = 16 << 20
 #: Entries of a table of weights, and weights of pairs of nodes that are kept. They bound memory only. Tables of a
 #: few entries are made without numpy.
@@ -169,6 +173,11 @@ def slot(node: Node) -> str:
 
 
 def _mark(text: str) -> str:
+    """12 hexadecimal digits of a hash, then those of the length."""
+    return f"{_hash(text)}{len(text):x}"
+
+
+def _hash(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=6).hexdigest()
 
 
@@ -178,11 +187,11 @@ def outline(node: Node):
 
 
 def _outlined(page: str) -> str:
-    return json.dumps([_mark(page), outline(parse(page))], separators=(",", ":"))
+    return json.dumps([_hash(page), outline(parse(page))], separators=(",", ":"))
 
 
-def matched(a, b) -> Iterator[tuple[str, bool]]:
-    """(slot, same) of the pairs of texts in two outlines by simple tree matching: the pairs of equally named nodes that
+def matched(a, b) -> Iterator[tuple[str, bool, str]]:
+    """(slot, same, text of the first) of the pairs of texts in two outlines by simple tree matching: the pairs of equally named nodes that
     keep parents and order and weigh most, where a pair weighs 1 and equal texts 1 more."""
     weights, stack = _Weights(), [(a, b, "")]
     while stack:
@@ -191,7 +200,7 @@ def matched(a, b) -> Iterator[tuple[str, bool]]:
             if isinstance(u, list):
                 stack.append((u, v, f"{path}/{u[0]}" if path else u[0]))
             else:
-                yield path, u == v
+                yield path, u == v, u
 
 
 class _Weights:
@@ -354,26 +363,68 @@ def _traced(table, p: list, q: list) -> Iterator[tuple]:
             s, t = s - 1, t - 1
 
 
+def article_of(tree) -> set[tuple[str, str]]:
+    """(slot, mark) of the texts in the article or main of an outline."""
+    found, stack = set(), [(tree, "", False)]
+    while stack:
+        node, path, inside = stack.pop()
+        for x in node[1]:
+            if isinstance(x, list):
+                stack.append((x, f"{path}/{x[0]}" if path else x[0], inside or x[0].split(".", 1)[0] in ("article", "main")))
+            elif inside:
+                found.add((path, x))
+    return found
+
+
+def alike(a: set[tuple[str, str]], b: set[tuple[str, str]]) -> bool:
+    """Whether two pages hold the same article: equal blocks have ``ALIKE`` of the shorter one's characters."""
+    a, b = {x for _, x in a}, {x for _, x in b}
+    chars = lambda marks: sum(int(x[12:], 16) for x in marks)
+    return chars(a & b) >= ALIKE * min(chars(a), chars(b))
+
+
+def block_key(where: str, mark: str) -> str:
+    """A text in a slot, among slots: no name begins with #."""
+    return f"#{mark} {where}"
+
+
 def constant_slots(page: str, pilots: list[str]) -> dict[str, tuple[int, int]]:
-    """slot: (text blocks equal to the pilot's, text blocks aligned), over the outlined pilots that differ from the page."""
+    """slot: (text blocks equal to the pilot's, text blocks aligned), over the outlined pilots that differ from the page.
+
+    For pages with an article, block_key: (pilots with the block, pilots), over pilots with different articles."""
     counts: dict[str, tuple[int, int]] = {}
-    others = [tree for mark, tree in map(json.loads, pilots) if mark != _mark(page)]
-    if others:
-        own = outline(parse(page))
+    mark = _hash(page)
+    others = [tree for other, tree in map(json.loads, pilots) if other != mark]
+    if not others:
+        return counts
+    own = outline(parse(page))
+    article = article_of(own)
+    if not article:
         for other in others:
-            for where, same in matched(own, other):
+            for where, same, _ in matched(own, other):
                 a, b = counts.get(where, (0, 0))
                 counts[where] = (a + same, b + 1)
+        return counts
+    theirs = [(tree, article_of(tree)) for tree in others]
+    shared = article & set().union(*(x for _, x in theirs))
+    if shared:
+        for other, blocks_there in theirs:
+            if blocks_there and not alike(article, blocks_there):
+                equal = {(where, x) for where, same, x in matched(own, other) if same}
+                for block in shared:
+                    a, b = counts.get(block_key(*block), (0, 0))
+                    counts[block_key(*block)] = (a + (block in equal), b + 1)
     return counts
 
 
 def main_text(page: str | None, template: frozenset[str] = frozenset()) -> str:
-    """The page's text, of pages without an article only what lies in no slot of the template."""
+    """The page's text without the template: of pages with an article its blocks, of others its slots."""
     if not page:
         return ""
     found = blocks(parse(page))
-    if template and not any(x.article for x in found):
-        found = [x for x in found if slot(x) not in template] or found
+    if template:
+        key = (lambda x: block_key(slot(x), _mark(x.text))) if any(x.article for x in found) else slot
+        found = [x for x in found if key(x) not in template] or found
     return "\n".join(x.text for x in found)
 
 
@@ -415,7 +466,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     joined = hosted.where("html is not null and html <> ''").join(pilots, "host")
     counts = joined.select("host", "html", "pilots").mapInArrow(align, "host string, slot string, same long, n long")
-    template = counts.groupBy("host", "slot").agg(F.sum("same").alias("same"), F.sum("n").alias("n")).where(F.col("same") >= CONSTANT_SHARE * F.col("n"))
+    template = counts.groupBy("host", "slot").agg(F.sum("same").alias("same"), F.sum("n").alias("n")).where((F.col("same") >= CONSTANT_SHARE * F.col("n")) & (~F.col("slot").startswith("#") | (F.col("same") >= LEAST)))
     template = saved(template.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template")))
     template = _small(template, F.octet_length(F.array_join("template", "")))
 

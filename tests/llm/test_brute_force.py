@@ -363,6 +363,18 @@ def test_main_text(spark):
 # ---- 9
 
 
+def test_template_inside_articles(spark):
+    from quadrille.llm.html_text import extract
+
+    page = lambda *own: f"<html><body><article>{''.join(f'<p>{x}</p>' for x in own)}<div class=tools>Tell a friend</div><p>Write to us</p></article></body></html>"
+    rows = [(i, f"http://one.org/{i}", page(f"words of text {i} and of no other page", "a line of two pages" if i < 2 else "")) for i in range(12)]
+    copies = [("copied words of one article", "that stand on every page", f"but for its number {i}") for i in range(12)]
+    rows += [(100 + i, f"http://two.org/{i}", f"<article>{''.join(f'<p>{x}</p>' for x in c)}</article>") for i, c in enumerate(copies)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(12)] == [f"words of text {i} and of no other page" + "\na line of two pages" * (i < 2) for i in range(12)]
+    assert [got[100 + i] for i in range(12)] == ["\n".join(c) for c in copies]
+
+
 def test_tree_matching_is_the_heaviest(monkeypatch):
     from quadrille.llm import html_text
 
@@ -401,7 +413,7 @@ def test_tree_matching_of_long_rows():
     rows = lambda texts: ["#root", [["ul", [["li", [x]] for x in texts]]]]
     same = [f"s{i}" for i in range(900)]
     got = list(matched(rows(["x", *same, "y"]), rows([*same, "z", "end"])))
-    assert sum(x for _, x in got) == 900
+    assert sum(x[1] for x in got) == 900
 
 
 def test_decontamination(spark):
