@@ -3,13 +3,15 @@
 Pages of one host are made from one template. Their DOM trees are aligned by simple tree matching: two nodes match if
 their tags agree, and the children of matching nodes are paired, in order, so that most nodes are matched.
 
-1. A host's pilots are the ``PILOTS`` pages with the smallest hashes of their ids (a documented bound; a hot host has no
-   more than any other).
-2. Every page of the host is aligned with its pilots' trees, of which only names and hashes of texts are kept. A block
-   whose node matches a pilot's node with the same text is constant: part of the template. Slots whose text varies are
-   content.
-3. Counts over all pages of the host decide: a slot (path of tags and classes) whose matched blocks are constant in at
-   least half of all alignments is template for all its pages. Pages with equal html are left out of each other's
+1. Pages of a host are of one kind if they have the same frame: paths of sections, divisions, tables and the like, four
+   deep, without what lies in an article. The pilots of a kind are ``PILOTS`` pages with different texts, and different
+   articles if there are any, among the ``CANDIDATES`` least hashes of texts (documented bounds of each kind; a hot host
+   or kind has no more than others, and copies count once). A kind with one pilot also gets those of the host's largest
+   kinds.
+2. Every page is aligned with its kind's pilots. Of both only names and hashes of texts are kept. A block whose node
+   matches a pilot's node with the same text is constant: part of the template. Slots whose text varies are content.
+3. Counts over all pages of the kind decide: a slot (path of tags and classes) whose matched blocks are constant in at
+   least half of all alignments is template for all of them. Pages with equal texts are left out of each other's
    counts, and a host with a single page has no template.
 4. Kinds of element that never hold the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
    styles, comments) are left out by tag, role, class or id.
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.checkpoints import saved
 
-PILOTS = 3
+PILOTS, CANDIDATES = 3, 12
 CONSTANT_SHARE = 0.5
 LEAST, ALIKE = 3, 2 / 3
 BROADCAST_BYTES = 16 << 20
@@ -57,6 +59,8 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 _NEVER = {"nav", "footer", "header", "aside", "form", "script", "style", "noscript", "template", "iframe", "head", "title", "button", "select", "textarea", "input", "label", "dialog", "menu", "object", "svg", "canvas", "audio", "video", "map"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar", "alertdialog"}
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|footer|header|masthead|sidebar\w*|aside|breadcrumbs?|cookie\w*|consent|notice|newsletter|popup|modal|comments?|respond|replies|reply|disqus|social|share\w*|related|widget\w*|login|signup|search\w*|pagination|pager|toolbar|skip\w*)(?=$|[\s_-])", re.I)
+_FRAME = {"article", "center", "div", "fieldset", "main", "section", "table", "td"}
+_DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -186,8 +190,51 @@ def outline(node: Node):
     return _mark(node.text) if node.tag == "#" else [node.name, [outline(x) for x in node.children if not x.never]]
 
 
-def _outlined(page: str) -> str:
-    return json.dumps([_hash(page), outline(parse(page))], separators=(",", ":"))
+def kind_of(tree) -> str:
+    """A hash of the frame of an outlined page: the paths of its sections and divisions, four deep."""
+    found, stack = set(), [(tree, "", 0)]
+    while stack:
+        node, path, depth = stack.pop()
+        for x in node[1]:
+            if isinstance(x, list):
+                tag = x[0].split(".", 1)[0]
+                if tag in _FRAME:
+                    where = f"{path}/{_DIGITS.sub('0', x[0])}"
+                    found.add(where)
+                    if depth < 3 and tag not in ("article", "main"):
+                        stack.append((x, where, depth + 1))
+                elif tag in ("html", "body"):
+                    stack.append((x, path, depth))
+    return _hash("\n".join(sorted(found)))
+
+
+def _texts(tree) -> str:
+    """A hash of the texts of an outlined page."""
+    found, stack = [], [tree]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, list):
+            stack += node[1]
+        else:
+            found.append(node)
+    return _hash(" ".join(found))
+
+
+def _outlined(page: str) -> tuple[str, str, str]:
+    """(kind, hash of the texts, the outline with that hash, as JSON)."""
+    tree = outline(parse(page))
+    texts = _texts(tree)
+    return kind_of(tree), texts, json.dumps([texts, tree], separators=(",", ":"))
+
+
+def pilots_of(outlines: list[str]) -> list[str]:
+    """Up to ``PILOTS`` of the outlines, none with the article of another."""
+    found: list[tuple[str, set]] = []
+    for o in sorted(outlines):
+        article = article_of(json.loads(o)[1])
+        if len(found) < PILOTS and not any(article and x and alike(article, x) for _, x in found):
+            found.append((o, article))
+    return [o for o, _ in found]
 
 
 def matched(a, b) -> Iterator[tuple[str, bool, str]]:
@@ -388,24 +435,23 @@ def block_key(where: str, mark: str) -> str:
     return f"#{mark} {where}"
 
 
-def constant_slots(page: str, pilots: list[str]) -> dict[str, tuple[int, int]]:
-    """slot: (text blocks equal to the pilot's, text blocks aligned), over the outlined pilots that differ from the page.
+def constant_slots(page: str, pilots: list[tuple]) -> dict[str, tuple[int, int]]:
+    """slot: (text blocks equal to the pilot's, text blocks aligned), over pilots (hash of texts, outline, article) whose
+    texts differ from the outlined page's.
 
     For pages with an article, block_key: (pilots with the block, pilots), over pilots with different articles."""
     counts: dict[str, tuple[int, int]] = {}
-    mark = _hash(page)
-    others = [tree for other, tree in map(json.loads, pilots) if other != mark]
-    if not others:
+    mark, own = json.loads(page)
+    theirs = [(tree, blocks_there) for other, tree, blocks_there in pilots if other != mark]
+    if not theirs:
         return counts
-    own = outline(parse(page))
     article = article_of(own)
     if not article:
-        for other in others:
+        for other, _ in theirs:
             for where, same, _ in matched(own, other):
                 a, b = counts.get(where, (0, 0))
                 counts[where] = (a + same, b + 1)
         return counts
-    theirs = [(tree, article_of(tree)) for tree in others]
     shared = article & set().union(*(x for _, x in theirs))
     if shared:
         for other, blocks_there in theirs:
@@ -417,15 +463,24 @@ def constant_slots(page: str, pilots: list[str]) -> dict[str, tuple[int, int]]:
     return counts
 
 
-def main_text(page: str | None, template: frozenset[str] = frozenset()) -> str:
-    """The page's text without the template: of pages with an article its blocks, of others its slots."""
-    if not page:
-        return ""
-    found = blocks(parse(page))
+def framed(page: str) -> tuple[str, list]:
+    """(kind, [whether the blocks are an article's, [slot, text] of each]) of a page."""
+    root = parse(page)
+    found = blocks(root)
+    return kind_of(outline(root)), [any(x.article for x in found), [[slot(x), x.text] for x in found]]
+
+
+def text_of(held: list, template: frozenset[str] = frozenset()) -> str:
+    """The text of a page's blocks without the template: of an article its blocks, of other pages its slots."""
+    article, found = held
     if template:
-        key = (lambda x: block_key(slot(x), _mark(x.text))) if any(x.article for x in found) else slot
-        found = [x for x in found if key(x) not in template] or found
-    return "\n".join(x.text for x in found)
+        found = [x for x in found if (block_key(x[0], _mark(x[1])) if article else x[0]) not in template] or found
+    return "\n".join(text for _, text in found)
+
+
+def main_text(page: str | None, template: frozenset[str] = frozenset()) -> str:
+    """The page's text without the template."""
+    return text_of(framed(page)[1], template) if page else ""
 
 
 def host_of(url_col: str):
@@ -437,62 +492,85 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     hosted = rows.withColumn("host", host_of("url"))
 
-    # pilots: the least hashes, merged in buckets so that no host lands in one task
-    key = F.xxhash64("id", F.lit("pilot"))
-    spread = hosted.where("html is not null and html <> ''").select("host", key.alias("k"), "id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("b"))
-    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("k", "id"))
-    chosen = spread.withColumn("r", least("host", "b")).where(F.col("r") <= PILOTS).withColumn("r", least("host")).where(F.col("r") <= PILOTS).select("id").distinct()
     def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_outlined, b.column(1).to_pylist()), pa.string())], names=["host", "o"])
+            found = [_outlined(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[c] for x in found], pa.string()) for c in range(3))], names=["host", "kind", "texts", "o"])
+
+    outlined = saved(hosted.where("html is not null and html <> ''").select("host", "html").mapInArrow(outlines, "host string, kind string, texts string, o string"))
+
+    # pilots: the least hashes, merged in buckets so that no host lands in one task
+    distinct = outlined.select("host", "kind", "texts").distinct()
+    spread = distinct.withColumns({"k": F.xxhash64("texts", F.lit("pilot")), "b": F.pmod(F.xxhash64("texts"), F.lit(64))})
+    least = lambda *by: F.row_number().over(Window.partitionBy("host", "kind", *by).orderBy("k", "texts"))
+    chosen = saved(spread.withColumn("r", least("b")).where(F.col("r") <= CANDIDATES).withColumn("r", least()).where(F.col("r") <= CANDIDATES).select("host", "kind", "texts"))
+    chosen = _small(chosen, F.octet_length("kind") + F.octet_length("texts"))
+    drawn = outlined.join(chosen, ["host", "kind", "texts"], "left_semi").groupBy("host", "kind", "texts").agg(F.min("o").alias("o"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pilots_of(x) for x in b.column(2).to_pylist()], pa.list_(pa.string()))], names=["host", "kind", "own"])
 
-    chosen = _few(chosen)
-    drawn = hosted.join(chosen, "id", "left_semi").select("host", "html").mapInArrow(outlines, "host string, o string")
-    pilots = saved(drawn.groupBy("host").agg(F.slice(F.array_sort(F.collect_set("o")), 1, PILOTS).alias("pilots")))
-    pilots = _small(pilots, F.octet_length(F.array_join("pilots", "")))
+    own = saved(drawn.groupBy("host", "kind").agg(F.collect_list("o").alias("os")).mapInArrow(pick, "host string, kind string, own array<string>"))
+    large = own.join(distinct.groupBy("host", "kind").count(), ["host", "kind"]).withColumn("b", F.pmod(F.xxhash64("kind"), F.lit(64)))
+    first = lambda *by: F.row_number().over(Window.partitionBy("host", *by).orderBy(F.desc("count"), "kind"))
+    large = large.withColumn("r", first("b")).where(F.col("r") <= PILOTS).withColumn("r", first()).where(F.col("r") <= PILOTS)
+    common = large.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("own"))).alias("common"))
+    pilots = own.join(common, "host").select("host", "kind", F.when(F.size("own") < 2, F.array_distinct(F.concat("own", "common"))).otherwise(F.col("own")).alias("pilots"))
+    pilots = _small(saved(pilots), F.octet_length(F.array_join("pilots", "")))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list[int]] = {}
+        held: dict[tuple[str, str, str], list[int]] = {}
+        read: dict[tuple[str, str], list[tuple]] = {}
         for b in batches:
-            for host, page, others in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for s, (same, n) in constant_slots(page, others).items():
-                    c = held.setdefault((host, s), [0, 0])
-                    c[0] += same
-                    c[1] += n
+            for i in range(0, b.num_rows, 128):
+                for host, kind, page, others in zip(*(c.to_pylist() for c in b.slice(i, 128).columns), strict=True):
+                    if (host, kind) not in read:
+                        if len(read) >= 256:
+                            read.clear()
+                        read[host, kind] = [(mark, tree, article_of(tree)) for mark, tree in map(json.loads, others)]
+                    for s, (same, n) in constant_slots(page, read[host, kind]).items():
+                        c = held.setdefault((host, kind, s), [0, 0])
+                        c[0] += same
+                        c[1] += n
             if len(held) > 20_000:
                 yield _counted(held)
                 held = {}
         yield _counted(held)
 
-    joined = hosted.where("html is not null and html <> ''").join(pilots, "host")
-    counts = joined.select("host", "html", "pilots").mapInArrow(align, "host string, slot string, same long, n long")
-    template = counts.groupBy("host", "slot").agg(F.sum("same").alias("same"), F.sum("n").alias("n")).where((F.col("same") >= CONSTANT_SHARE * F.col("n")) & (~F.col("slot").startswith("#") | (F.col("same") >= LEAST)))
-    template = saved(template.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template")))
+    counts = outlined.select("host", "kind", "o").join(pilots, ["host", "kind"]).select("host", "kind", "o", "pilots").mapInArrow(align, "host string, kind string, slot string, same long, n long")
+    template = counts.groupBy("host", "kind", "slot").agg(F.sum("same").alias("same"), F.sum("n").alias("n"))
+    template = template.where((F.col("same") >= CONSTANT_SHARE * F.col("n")) & (~F.col("slot").startswith("#") | (F.col("same") >= LEAST)))
+    template = saved(template.groupBy("host", "kind").agg(F.sort_array(F.collect_list("slot")).alias("template")))
     template = _small(template, F.octet_length(F.array_join("template", "")))
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 128):
+                part = b.slice(i, 128)
+                found = [framed(p) if p else (None, None) for p in part.column(3).to_pylist()]
+                blocks_of = [x and json.dumps(x, separators=(",", ":"), ensure_ascii=False) for _, x in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([x[0] for x in found], pa.string()), pa.array(blocks_of, pa.string())], names=["id", "url", "host", "kind", "blocks"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 128):
                 part = b.slice(i, 128)
-                texts = [main_text(p, frozenset(t or ())) for p, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                texts = [text_of(json.loads(p), frozenset(t or ())) if p else "" for p, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    out = hosted.join(template, "host", "left").select("id", "url", "html", "template")
+    parts = hosted.select("id", "url", "host", "html").mapInArrow(split, f"id {kind}, url string, host string, kind string, blocks string")
+    out = parts.join(template, ["host", "kind"], "left").select("id", "url", "blocks", "template")
     return out.mapInArrow(cut, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    ids = saved(ids)
-    return F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
-
-
 def _small(table: DataFrame, size) -> DataFrame:
     """The table, marked for a broadcast if its rows are few enough in bytes."""
     total = table.agg(F.sum(size + F.octet_length("host") + 64)).first()[0] or 0
     return F.broadcast(table) if total <= BROADCAST_BYTES else table
 
 
-def _counted(held: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
-    keys = list(held)
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([held[k][0] for k in keys], pa.int64()), pa.array([held[k][1] for k in keys], pa.int64())], names=["host", "slot", "same", "n"])
+def _counted(held: dict[tuple[str, str, str], list[int]]) -> pa.RecordBatch:
+    names = [pa.array([k[c] for k in held], pa.string()) for c in range(3)]
+    return pa.RecordBatch.from_arrays([*names, *(pa.array([x[c] for x in held.values()], pa.int64()) for c in range(2))], names=["host", "kind", "slot", "same", "n"])

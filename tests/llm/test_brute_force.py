@@ -375,6 +375,19 @@ def test_template_inside_articles(spark):
     assert [got[100 + i] for i in range(12)] == ["\n".join(c) for c in copies]
 
 
+def test_every_kind_of_page_has_pilots(spark):
+    from quadrille.llm.html_text import extract
+
+    kinds = [lambda i, k=k: f"<html><body><div class=top{'abcdefgh'[k]}><p>Menu of kind {k}</p></div><div class=body{'abcdefgh'[k]}><p>text {i}</p></div></body></html>" for k in range(8)]
+    rows = [(i, f"http://one.org/{i}", kinds[i % 8](i)) for i in range(64)]
+    rows += [(100 + i, "http://two.org/", "<div class=top>Menu</div><div class=body>copied</div>") for i in range(40)] + [(200 + i, "http://two.org/", f"<div class=top>Menu</div><div class=body>own {i}</div>") for i in range(3)]
+    rows += [(300 + i, "http://three.org/", f"<div class=top>Menu</div><div class={'xyz'[i]}>alone {i}</div>") for i in range(3)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(64)] == [f"text {i}" for i in range(64)]
+    assert {got[100 + i] for i in range(40)} == {"copied"} and [got[200 + i] for i in range(3)] == [f"own {i}" for i in range(3)]
+    assert [got[300 + i] for i in range(3)] == [f"alone {i}" for i in range(3)]
+
+
 def test_tree_matching_is_the_heaviest(monkeypatch):
     from quadrille.llm import html_text
 
