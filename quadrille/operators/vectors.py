@@ -53,37 +53,79 @@ def knn(vectors: DataFrame, k: int, queries: DataFrame | None = None, block_rows
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", "rank", "j", F.sqrt("d2").alias("d"))
 
 
-def knn_approx(vectors: DataFrame, k: int, projections: int = 6, reach: int = 12, rounds: int = 2, seed: int = 42) -> DataFrame:
+def knn_approx(vectors: DataFrame, k: int, projections: int = 6, reach: int = 12, rounds: int = 12, seed: int = 42, tol: float = 0.001, width: int | None = None) -> DataFrame:
     """Neighbours by descent: rows near each other on random projections, then neighbours of neighbours: i, rank, j, d.
 
-    Projections are range-sorted by Spark; a row is offered those within ``reach`` places inside its range."""
+    Projections are range-sorted by Spark; a row is offered those within ``reach`` places inside its range. Lists hold
+    ``width`` neighbours (three times k, 30 at least). In a round, the neighbours of each row, with as many of the rows
+    that have it as neighbour (the least hashes), are offered to each other, but for pairs of which neither is new.
+    Rounds end when at most ``tol`` of all n k neighbours change, or after ``rounds``, as in the reference."""
+    width = max(30, 3 * k) if width is None else width
     dim = len(vectors.first()["v"])
     rng = np.random.Generator(np.random.PCG64(seed))
-    slim = saved(vectors.select("id", "v"))
-    offered = None
-    for p in range(projections):
-        w = F.array(*[F.lit(float(x)) for x in rng.normal(size=dim)])
-        ranged = slim.select("id", dot(F.col("v"), w).alias("s")).repartitionByRange(max(1, slim.rdd.getNumPartitions()), "s")
-        line = ranged.withColumn("_p", F.spark_partition_id())
-        order = Window.partitionBy("_p").orderBy("s", "id")
-        near = line.select("id", F.array(*[F.lag("id", o).over(order) for o in range(-reach, reach + 1) if o]).alias("js")).select("id", F.explode(F.array_compact("js")).alias("j"))
-        offered = near if offered is None else offered.unionAll(near)
+    slim = saved(vectors.select(F.col("id").cast("long").alias("id"), "v"))
+    n, pair = slim.count(), "id long, j long, d2 double"
+    short = slim.select("id", F.col("v").cast("array<float>").alias("v"))
+    if slim.where(F.col("v") != F.col("v").cast("array<float>").cast("array<double>")).isEmpty():
+        slim = short  # the same numbers in half the bytes
+    matrix = lambda column: np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
+
+    def along(batches):
+        ids, v = np.empty(0, np.int64), np.empty((0, dim))
+        for b in batches:
+            start = len(ids)  # rows of the last batch, already offered to each other
+            ids, v = np.concatenate([ids, b.column(0).to_numpy()]), np.concatenate([v, matrix(b.column(1))])
+            for o in range(1, reach + 1):
+                s = max(start, o)
+                d2 = ((v[s:] - v[s - o : len(v) - o]) ** 2).sum(1) if s < len(v) else np.empty(0)
+                x, y = ids[s:], ids[s - o : s - o + len(d2)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y])), pa.array(np.concatenate([y, x])), pa.array(np.concatenate([d2, d2]))], names=["id", "j", "d2"])
+            ids, v = ids[-reach:], v[-reach:]
 
     def nearest(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("id <> j").distinct()
-        held = pairs.join(slim, "id").join(slim.select(F.col("id").alias("j"), F.col("v").alias("u")), "j")
-        gap = F.zip_with("v", "u", lambda a, b: a - b)
-        held = held.withColumn("d2", dot(gap, gap))
-        return saved(held.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "j"))).where(F.col("rank") <= k).select("id", "rank", "j", "d2"))
+        one = pairs.groupBy("id", "j").agg(F.min("d2").alias("d2"), F.min("new").alias("new"))
+        ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "j"))).where(F.col("rank") <= width)
+        return saved(ranked.select("id", "j", "d2", "new", "rank"))
 
-    best = nearest(offered)
-    for _ in range(rounds):
-        edges = best.select("id", "j")
-        reverse = edges.select(F.col("j").alias("id"), F.col("id").alias("j")).withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "j")))).where(F.col("_r") <= k).drop("_r")
-        around = edges.unionAll(reverse)
-        further = around.join(around.select(F.col("id").alias("j"), F.col("j").alias("far")), "j").select("id", F.col("far").alias("j"))
-        best = nearest(around.unionAll(further))
-    return best.select(F.col("id").alias("i"), "rank", "j", F.sqrt("d2").alias("d"))
+    offered = None
+    for _ in range(projections):
+        w = F.array(*[F.lit(float(x)) for x in rng.normal(size=dim)])
+        line = slim.withColumn("s", dot(F.col("v").cast("array<double>"), w)).repartitionByRange(max(1, slim.rdd.getNumPartitions()), "s").sortWithinPartitions("s", "id")
+        near = line.select("id", "v").mapInArrow(along, pair)
+        offered = near if offered is None else offered.unionAll(near)
+    best = nearest(offered.withColumn("new", F.lit(1)))
+
+    def local(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("p", "ascending"), ("m", "ascending")]).combine_chunks()
+        p, m, new, far, v = t.column("p").to_numpy(), t.column("m").to_numpy(), t.column("new").to_numpy() > 0, t.column("far").to_numpy(), matrix(t.column("v").combine_chunks())
+        ends, out = np.append(np.flatnonzero(np.diff(p)) + 1, len(p)), []
+        start = 0
+        for end in ends:
+            x, fresh, ids = v[start:end], new[start:end], m[start:end]
+            d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+            a, c = np.nonzero((fresh[:, None] | fresh[None]) & (d2 <= far[start:end, None]) & ~np.eye(len(x), dtype=bool))
+            out.append((ids[a], ids[c], d2[a, c]))
+            start = end
+        found = [np.concatenate([x[c] for x in out]) for c in range(3)]
+        order = np.lexsort((found[1], found[0]))  # a pair once
+        found = [x[order] for x in found]
+        keep = np.ones(len(order), bool)
+        keep[1:] = (found[0][1:] != found[0][:-1]) | (found[1][1:] != found[1][:-1])
+        return pa.table({"id": found[0][keep], "j": found[1][keep], "d2": found[2][keep]})
+
+    for r in range(rounds):
+        edges = best.select(F.col("id").alias("p"), F.col("j").alias("m"), "new")
+        back = edges.select(F.col("m").alias("p"), F.col("p").alias("m"), "new")
+        back = back.withColumn("_r", F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("m", "p", F.lit(r))))).where(F.col("_r") <= width).drop("_r")
+        members = edges.unionAll(back).groupBy("p", "m").agg(F.max("new").alias("new"))
+        far = best.where(F.col("rank") == width).select("id", F.col("d2").alias("far"))
+        nodes = slim.join(far, "id", "left").select(F.col("id").alias("m"), "v", F.coalesce("far", F.lit(float("inf"))).alias("far"))
+        dealt = members.join(nodes, "m").withColumn("block", F.pmod(F.xxhash64("p"), F.lit(max(1, -(-n // 256)))))
+        found = dealt.select("block", "p", "m", "new", "far", "v").groupBy("block").applyInArrow(lambda t: local(t.drop_columns("block")), pair)
+        best = nearest(best.select("id", "j", "d2", F.lit(0).alias("new")).unionAll(found.withColumn("new", F.lit(1))))
+        if best.where((F.col("new") == 1) & (F.col("rank") <= k)).count() <= tol * n * k:
+            break
+    return best.where(F.col("rank") <= k).select(F.col("id").alias("i"), "rank", "j", F.sqrt("d2").alias("d"))
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -132,6 +132,11 @@ def test_exact_and_approximate_neighbours(spark):
     assert vectors.recall(vectors.knn_approx(df, 5), exact).first()["recall"] > 0.9
 
 
+def test_recall_of_approximate_neighbours_of_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id as id", "cast(embedding as array<double>) as v")
+    assert vectors.recall(vectors.knn_approx(df, 10), vectors.knn(df, 10)).first()["recall"] >= 0.9
+
+
 def test_pca_against_numpy(spark):
     x = np.random.default_rng(2).normal(size=(300, 6)) * np.arange(1, 7)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
