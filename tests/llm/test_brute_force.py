@@ -347,6 +347,22 @@ def test_urls(spark):
 # ---- 8
 
 
+def test_url_rules_need_no_share_of_the_corpus(spark):
+    from quadrille.llm.url_rules import judge, mine
+
+    # 12 of 4000 labelled pages are on a host that is blocked throughout, 12 under a path that is blocked on one host only
+    urls = [(f"x://h{i % 40}.org/{'a' if i % 2 else 'b'}/{i}", i // 40 % 10 == 0) for i in range(4000)] + [(f"x://bad.org/p/{i}", True) for i in range(12)]
+    urls += [(f"x://half.org/good/{i}", False) for i in range(60)] + [(f"x://half.org/spam/{i}", True) for i in range(12)] + [(f"x://other.org/spam/{i}", False) for i in range(60)]
+    urls += [(f"x://few.org/{i}", True) for i in range(3)]
+    new = ["x://bad.org/new", "x://half.org/spam/new", "x://half.org/new", "x://other.org/spam/new", "x://few.org/new", "x://h0.org/b/new"]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)] + [(10_000 + i, u) for i, u in enumerate(new)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(urls)], "id long, blocked boolean")
+    got = {r.page_id: r.verdict for r in judge(pages, labels, rules=()).collect()}
+    assert [got[10_000 + i] for i in range(len(new))] == ["block", "block", "allow", "allow", "allow", "allow"]
+    rules = {tuple(sorted(r.antecedent)): (r.n, r.confidence) for r in mine(spark.createDataFrame(urls, "url string, blocked boolean")).collect()}
+    assert rules[("h:bad.org",)] == (12, 1.0) and rules[("h:half.org", "p:spam")] == (12, 1.0)
+
+
 def test_main_text(spark):
     from quadrille.llm.html_text import extract, main_text
 
