@@ -4,8 +4,8 @@ A text is the average of the embeddings of its subwords: every 2, 3 and 4 bytes
 single word ends between them, hashed into ``BUCKETS``. Embeddings and softmax are trained together by stochastic
 gradient descent in numpy on a bounded sample (``SAMPLE`` labelled texts of each language, whole, and as many pieces
 of them), on the driver. A temperature is fitted on texts kept apart, so the score is calibrated; a text is rejected
-if its score stays below the least score that all but ``REJECTED`` of the kept texts of known language reach, or
-``MOST_REJECT`` if that is less.
+if its score stays below the least score that all but ``REJECTED`` of the kept texts and pieces of known language
+reach. With a single learned language every score is 1, so only texts without a letter are rejected.
 
 The model is linear in the subword counts, so it is one table of BUCKETS numbers for each language; scoring adds
 them up over the whole text, block by block.
@@ -28,7 +28,7 @@ from quadrille.llm import text_blocks as tb
 BUCKETS, DIM = 1 << 14, 16
 SAMPLE = 400
 EPOCHS, BATCH, RATE = 12, 64, 0.5
-REJECTED, MOST_REJECT = 0.0005, 0.35
+REJECTED = 0.0005
 _U = np.uint32
 #: Letters keep their lower-case byte, all bytes outside ASCII stay, anything else is a word end.
 _LETTER = np.full(256, 32, np.uint8)
@@ -193,8 +193,8 @@ def train(texts: list[str], langs: list[str], seed: int = 0) -> Model:
     z = np.concatenate([forward(b)[0] @ W for b in np.array_split(check, max(1, len(check) // 256))])
     loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(check)), labels[check]] + 1e-12).mean()
     temperature = min(np.geomspace(0.05, 5, 60), key=loss)
-    whole = _softmax(z[::2] / temperature).max(1)
-    return Model(names, np.ascontiguousarray(table.T, np.float32), float(temperature), float(min(MOST_REJECT, np.quantile(whole, REJECTED))))
+    known = _softmax(z / temperature).max(1)[[len(rows[i][0]) > 0 for i in check]]
+    return Model(names, np.ascontiguousarray(table.T, np.float32), float(temperature), float(np.quantile(known, REJECTED)) if len(known) else 0.0)
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:

@@ -129,6 +129,19 @@ def test_language(spark, sf):
     assert fit(docs.limit(0)).langs == [] and predict(docs.limit(0), model).count() == 0
 
 
+def test_texts_of_unlearned_languages_are_rejected(spark, sf):
+    from quadrille.llm.language_id import accepted, fit
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    foreign = ["Быстрая коричневая лиса прыгает через ленивую собаку и бежит домой", "素早い茶色の狐がのろまな犬を飛び越える", "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee kotiin metsään", "Szybki brązowy lis przeskakuje nad leniwym psem i biegnie do domu", "xq zvbk wrtp qqjx kzzw pfgh bnmk xcvb qwrt zxcv"]
+    odd = spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string")
+    for langs in (("de", "en", "es", "fr"), ("en", "de")):
+        known = docs.where(F.col("lang").isin(*langs) & (F.length("text") > 40))
+        model = fit(known)
+        assert accepted(odd, model).count() <= (0 if len(langs) == 4 else 3)
+        assert accepted(known, model).count() >= 0.98 * known.count()
+
+
 # ---- 3
 
 
