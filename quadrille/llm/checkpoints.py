@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: spark.checkpoint.dir; only where that is unset, a new temporary folder."""
+    """The session's checkpoint folder, spark.checkpoint.dir. Where it is unset, a new temporary folder if driver and
+    executors are one process; on a cluster a folder of one machine would not do, so that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 
 
@@ -19,3 +26,10 @@ def saved(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in ``folder``."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in ``folder`` and read again: smaller than a checkpoint, and with statistics."""
+    path = f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,8 @@
 A document is its set of distinct word shingles (ASCII letters lower-cased); with fewer words than a shingle, the
 whole sequence is its one shingle; without words it has none and is linked with nothing.
 
-1. Equal sets form a class at once; the smallest id stands for it from here on.
+1. Equal sets form a class at once, known by a 128-bit digest of the whole sorted set; the smallest id stands for it
+   from here on.
 2. Every permutation keeps its least *and* its greatest hash, so ``permutations`` hash passes give twice as many
    signature values. Each band joins ``rows`` values of different permutations.
 3. Documents that share a band are linked to the band's smallest one if 100 * |intersection| >= percent * |union|
@@ -17,12 +18,14 @@ whole sequence is its one shingle; without words it has none and is linked with
 With the standard figures (24 bands of 5) a pair at the threshold of 0.85 shares no band with probability 7e-7, at
 0.8 with 6e-5. Chains of near copies are reached through any of their links.
 
-Defined results: null or empty text: 0 shingles, own component. Rows that repeat an id share its component. A null
-id: its row is returned with null component_id and kept false. Extra columns are not read.
+Defined results: null or empty text: 0 shingles, own component. Rows that repeat an id share its component: it is
+linked with whatever one of its texts is linked with. A null id: its row is returned with null component_id and kept
+false. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,8 +91,9 @@ def _sketch(k: int):
                 s0, s1 = np.zeros(n, U), np.zeros(n, U)
                 bands = pa.array([], pa.int64())
                 if len(full):
-                    s0[full] = np.add.reduceat(tb.mix(keys), at)
-                    s1[full] = np.bitwise_xor.reduceat(tb.mix(keys + U(0x632BE59BD9B4E019)), at)
+                    ends = at + sizes[full]
+                    digests = b"".join(hashlib.blake2b(keys[i:j].data, digest_size=16).digest() for i, j in zip(at.tolist(), ends.tolist(), strict=True))
+                    s0[full], s1[full] = np.frombuffer(digests, U).reshape(-1, 2).T
                     bands = pa.array(_bands(keys, at).view(np.int64).ravel(), pa.int64())
                 offsets = np.zeros(n + 1, np.int32)
                 offsets[1:] = np.cumsum((sizes > 0) * BANDS)
@@ -135,8 +139,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
     wanted = shared.select(F.col("rep").alias("id")).distinct()
-    sets = saved(rows.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_sets(k), "id long, keys array<long>").groupBy("id").agg(F.first("keys").alias("keys")))
-    links = saved(_linked(stars, sets, percent))
+    sets = saved(rows.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_sets(k), "id long, keys array<long>").groupBy("id", F.xxhash64("keys").alias("text")).agg(F.first("keys").alias("keys")).drop("text"))
+    links = saved(_linked(stars, sets, percent).unionAll(_same_id(sketch, classes)))
     label = components(links)
 
     tried = stars
@@ -147,7 +151,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         found = saved(_linked(more, sets, percent))
         n = found.count()
         tried, links = tried.unionAll(more), links.unionAll(found)
-        if n * FEW < apart.count():  # the last step finds what is left; more rounds would only make it smaller
+        if n == 0 or n * FEW < apart.count():  # the last step finds what is left; more rounds would only make it smaller
             break
         label = components(links)
     more = _by_rarest(apart.select("rep", "c").distinct(), sets, percent)
@@ -156,15 +160,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if n or not more.isEmpty():
         label = components(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     found = classes.join(label, classes["rep"] == label["node"], "left").drop("node").join(degree, F.col("rep") == degree["node"], "left")
     found = found.select(*[F.col(c).alias("_" + c) for c in key], F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("links"))
     same = (F.col("n") == F.col("_n")) & (F.col("s0") == F.col("_s0")) & (F.col("s1") == F.col("_s1"))
-    out = sketch.select("id", *key).join(found, same, "left")
-    component = F.coalesce(F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
+    # sets without shingles meet no class, and are spread by their ids
+    out = sketch.select("id", "n", F.when(F.col("n") > 0, F.col("s0")).otherwise(F.xxhash64("id", F.monotonically_increasing_id())).alias("s0"), "s1").join(found, same, "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
+def _same_id(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that have one id and different sets."""
+    several = sketch.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("s0", "s1")).alias("lo"), F.max(F.struct("s0", "s1")).alias("hi")).where("lo <> hi").select("id")
+    held = sketch.where("n > 0").join(several, "id").select("id", "n", "s0", "s1").distinct().join(classes, ["n", "s0", "s1"]).select("id", "rep")
+    return held.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+
+
 def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
     """(band, rep, c, hub, hub_c) of the bands whose documents lie in several components, with one of their documents as hub."""
     named = shared.join(label.hint("merge"), shared["rep"] == label["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))

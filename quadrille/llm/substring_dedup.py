@@ -1,222 +1,213 @@
-"""Removal of long passages that occur before.
-
-The windows of ``window`` consecutive words are the edges of the token graph, each known by its word sequence.
-A word goes if a window over it has the sequence of a window that starts earlier: in a smaller id, or in the same
-document before it. Windows are judged on the input, not on what is left.
-
-1. *Anchors.* The smallest hash among the short k-mers inside a window anchors it; equal windows have equal
-   anchors, and a run of neighbouring windows shares one. Each chunk of documents asks which of its distinct
-   anchors occur anywhere else.
-2. *Edges.* Only windows at repeated anchors are compared: each chunk sends the sequences' 96-bit hashes with
-   the id of its first holder, and learns which sequences it holds first of all.
-3. *Paths.* Adjoining repeated windows merge to spans, and the spans' words are cut, each checked against the
-   source coordinate that came first.
-
-Defined results: a null text has no words. Rows with equal ids count in the order of their texts; of equal rows
-the first keeps its words. A null id is smaller than all others. A text of fewer words than a window is kept.
-Extra columns are carried along whatever their names.
+"""Removal of long passages that occur before, by compaction of the De Bruijn graph of words.
+
+The windows of ``window`` consecutive words are the edges of the graph. A word goes if an edge over it has the word
+sequence of an edge that starts earlier: in a smaller id, or in the same document before it. Edges are judged on the
+input, not on what is left.
+
+1. *Paths.* The edges that share their anchor, the k-mer of least hash inside them, follow each other in the text: they
+   leave a document as one row, a path, with the anchor, the place and a hash of all its words. Equal edges have equal
+   anchors at equal distances, so an anchor that occurs once in the corpus holds nothing that repeats.
+2. *Branches.* An aggregation by anchor tells whether all paths through it are the same. If they are, the path does
+   not branch and stays compact, one row however many edges it has; the others are split into their edges again. Joins
+   bring this to the paths and, through the ids of documents, to the texts.
+3. *Sources.* The first place of every repeated path or edge is its source, joined to all its other places.
+4. *Spans.* Paths and edges that follow each other in a document and in their source are glued to one long span.
+5. *Verification.* The words at each span's source coordinates are read from the source's text, and the span is cut
+   only if its own words have the same 128-bit digest.
+
+No group is ever gathered: counts and first places are aggregated before the shuffle, and everything else is a join,
+which adaptive execution splits where a key is hot. What is collected for one document is bounded by its own length.
+
+Defined results: a null text has no words. A text of fewer words than a window is kept. A null id is smaller than all
+others. Rows of one id and different texts count in the order of a hash of their texts; rows that repeat both id and
+text are one document, cut alike. Extra columns are carried along whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm import chunks as ch
 from quadrille.llm import text_blocks as tb
+from quadrille.llm.checkpoints import stored
 
-WINDOW = 20
+WINDOW, ANCHOR = 20, 6
+#: Bytes of text that the Python functions take apart at once; a longer text is one block.
+BLOCK = 1 << 20
 U = np.uint64
-_NO_ID = -(2**63)
+_MULT = 0xD1342543DE82EF95
 
 
-def _ordered(table: pa.Table, id_at: int, text_at: int) -> pa.Table:
-    """Rows by id, then text; null ids first."""
-    names = [f"x{i}" for i in range(table.num_columns)]
-    table = table.rename_columns(names)
-    return table.take(pc.sort_indices(table, sort_keys=[(names[id_at], "ascending"), (names[text_at], "ascending")], null_placement="at_start")) if table.num_rows > 1 else table
+class Paths:
+    """The paths of some documents: for each its document, first edge, edges, anchor's distance from the first edge, anchor's hash and a hash of its words."""
 
-
-def _ids(table: pa.Table, at: int) -> np.ndarray:
-    return pc.fill_null(pc.cast(table.column(at), pa.int64()), _NO_ID).to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
-
-
-class _Windows:
-    """Windows of a chunk's documents, and their anchors."""
-
-    def __init__(self, texts, window: int):
-        self.window, self.k = window, min(6, window)
-        span = window - self.k + 1
-        self.h, self.h2, self.counts = ch.words_of(texts, seconds=True)
-        wins = np.maximum(self.counts - window + 1, 0)
+    def __init__(self, h: np.ndarray, counts: np.ndarray, window: int):
+        k = min(ANCHOR, window)
+        span = window - k + 1
+        wins = np.maximum(counts - window + 1, 0)
         n = int(wins.sum())
-        first = np.cumsum(self.counts) - self.counts
-        self.begin = np.repeat(first - (np.cumsum(wins) - wins), wins) + np.arange(n)
-        self.doc = np.repeat(np.arange(len(wins)), wins)
+        self.h, self.word0 = h, np.cumsum(counts) - counts
         if not n:
-            self.run_value, self.run_of, self.twice = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool)
+            empty = np.zeros(0, np.int64)
+            self.doc, self.at, self.n, self.ahead, self.anchor, self.path = empty, empty, empty, empty, np.zeros(0, U), np.zeros(0, np.int32)
             return
-        kmer = self._rolled(self.h, self.k)
-        small = kmer
+        begin = np.repeat(self.word0 - (np.cumsum(wins) - wins), wins) + np.arange(n)
+        doc = np.repeat(np.arange(len(wins)), wins)
+        kmer = rolled(h, k)
+        least, place = kmer, np.arange(len(kmer))
         width = 1
-        while width * 2 <= span:  # least over `width`, doubled
-            small = np.minimum(small[: len(small) - width], small[width:])
-            width *= 2
-        if width < span:
-            shift = span - width
-            small = np.minimum(small[: len(small) - shift], small[shift:])
-        least = small[self.begin]
-        ties = np.zeros(n, np.uint8)
-        for i in range(span):
-            ties += kmer[self.begin + i] == least
+        while width < span:  # the first least value among `width` k-mers, for more and more of them
+            step = min(width, span - width)
+            left = len(least) - step
+            better = least[step:] < least[:left]
+            place = np.where(better, place[step:], place[:left])
+            least = np.where(better, least[step:], least[:left])
+            width += step
+        spot = place[begin]
         new = np.ones(n, bool)
-        new[1:] = (least[1:] != least[:-1]) | (self.doc[1:] != self.doc[:-1])
-        at = np.flatnonzero(new)
-        self.run_of = np.cumsum(new) - 1
-        self.run_value = least[at]
-        length = np.diff(np.append(at, n))
-        self.twice = (length > span) | (np.maximum.reduceat(ties, at) > 1)
-
-    @staticmethod
-    def _rolled(h: np.ndarray, k: int) -> np.ndarray:
-        n = len(h) - k + 1
-        acc = np.full(n, U(0x8EBC6AF09C88C6E3))
-        for i in range(k):
-            acc = (acc ^ h[i : i + n]) * U(0x9FB21C651E98DF25)
-            acc ^= acc >> U(29)
-        return tb.mix(acc)
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors, whether each occurs more than once here, and the place of each run's anchor."""
-        keys, place, n = np.unique(self.run_value, return_inverse=True, return_counts=True)
-        return keys, (n > 1) | (np.bincount(place, self.twice, len(keys)) > 0), place
-
-    def sequences(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96-bit hashes of the windows with these numbers."""
-        begin, out = self.begin[wanted], []
-        for h, seed in ((self.h, 0x243F6A8885A308D3), (self.h2, 0x13198A2E03707344)):
-            acc = np.full(len(begin), U(seed))
-            for i in range(self.window):
-                acc = (acc ^ h[begin + i]) * U(0x9FB21C651E98DF25)
-                acc ^= acc >> U(29)
-            out.append(tb.mix(acc))
-        return out[0], (out[1] >> U(32)).astype(np.uint32)
-
-
-def _ask_anchors(window: int, parts: int, chunk_at: int, id_at: int, text_at: int):
-    def ask(table: pa.Table) -> pa.Table:
-        chunk = table.column(chunk_at)[0].as_py()
-        keys, twice, _ = _Windows(table.column(text_at), window).anchors()
-        cut = ch.bounds(keys, parts)
-        return ch.requests([(p, chunk, 1, ch.pack(keys[a:b], twice[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
-
-    return ask
-
-
-def _answer_anchors(table: pa.Table) -> pa.Table:
-    bodies = [ch.unpack(b, U, np.bool_) for b in table.column("body").to_pylist()]
-    keys, place = np.unique(np.concatenate([k for k, _ in bodies]), return_inverse=True)
-    held = np.bincount(place, minlength=len(keys)) + np.bincount(place, np.concatenate([t for _, t in bodies]), len(keys))
-    said = np.split((held > 1)[place], np.cumsum([len(k) for k, _ in bodies])[:-1])
-    return table.set_column(3, "body", pa.array([np.packbits(s).tobytes() for s in said], pa.binary()))
-
-
-def _bits(answers: pa.Table, kind: int, sizes: np.ndarray) -> np.ndarray:
-    """The answers of one kind, in the order of the keys asked; sizes: keys of each range."""
-    out = np.zeros(int(sizes.sum()), bool)
-    ends = np.cumsum(sizes)
-    for part, k, body in zip(answers.column("part").to_pylist(), answers.column("kind").to_pylist(), answers.column("body").to_pylist(), strict=True):
-        if k == kind:
-            out[ends[part] - sizes[part] : ends[part]] = np.unpackbits(np.frombuffer(body, np.uint8), count=int(sizes[part]))
-    return out
-
-
-def _edges(w: _Windows, answers: pa.Table, parts: int):
-    """Windows at repeated anchors: (numbers, distinct (h0, h1), place of each, number of the first window of each)."""
-    keys, _, place = w.anchors()
-    repeated = _bits(answers, 1, np.diff(ch.bounds(keys, parts)))
-    wanted = np.flatnonzero(repeated[place][w.run_of]) if len(keys) else np.zeros(0, np.int64)
-    h0, h1 = w.sequences(wanted)
-    order = np.lexsort((h1, h0))  # stable: of equal sequences the earliest window comes first
-    a, b = h0[order], h1[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return wanted, a[new], b[new], group, wanted[order[new]] if len(order) else wanted
-
-
-def _ask_edges(window: int, parts: int, chunk_at: int, id_at: int, text_at: int):
-    def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return ch.requests([])
-        chunk = docs.column(chunk_at)[0].as_py()
-        docs = _ordered(docs, id_at, text_at)
-        w = _Windows(docs.column(text_at), window)
-        _, a, b, _, first = _edges(w, answers, parts)
-        holder = _ids(docs, id_at)[w.doc[first]] if len(first) else np.zeros(0, np.int64)
-        cut = ch.bounds(a, parts)
-        return ch.requests([(p, chunk, 2, ch.pack(a[i:j], b[i:j], holder[i:j])) for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
-
-    return ask
-
-
-def _answer_edges(table: pa.Table) -> pa.Table:
-    bodies = [ch.unpack(b, U, np.uint32, np.int64) for b in table.column("body").to_pylist()]
-    a, b, holder = (np.concatenate([x[i] for x in bodies]) for i in range(3))
-    order = np.lexsort((holder, b, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    owner = np.zeros(len(order), bool)
-    owner[order[new]] = True  # ids of one value share a chunk, so the least holder is one entry
-    said = np.split(owner, np.cumsum([len(x[0]) for x in bodies])[:-1])
-    return table.set_column(3, "body", pa.array([np.packbits(s).tobytes() for s in said], pa.binary()))
-
-
-def _removed(w: _Windows, answers: pa.Table, parts: int) -> np.ndarray:
-    """Which words go."""
-    cover = np.zeros(len(w.h) + 1, np.int32)
-    wanted, a, _, group, first = _edges(w, answers, parts)
-    if len(wanted):
-        owner = _bits(answers, 2, np.diff(ch.bounds(a, parts)))
-        later = ~(owner[group] & (first[group] == wanted))
-        begin = w.begin[wanted[later]]
-        np.add.at(cover, begin, 1)
-        np.subtract.at(cover, begin + w.window, 1)
-    return np.cumsum(cover[:-1]) > 0
-
-
-def _cut(window: int, parts: int, chunk_at: int, id_at: int, text_at: int, keep_layout: bool, names: list[str], kinds: pa.Schema):
-    def cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return kinds.empty_table()
-        docs = _ordered(docs, id_at, text_at)
-        w = _Windows(docs.column(text_at), window)
-        gone = _removed(w, answers, parts)
-        raw, offsets = tb.text_arrays(docs.column(text_at))
-        known = docs.column(text_at).is_valid().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(w.counts)
-        texts, removed = [], np.add.reduceat(np.append(gone, False).astype(np.int64), ends - w.counts) * (w.counts > 0)
-        for d in range(docs.num_rows):
-            body = raw[offsets[d] : offsets[d + 1]].tobytes()
-            if keep_layout:
-                texts.append((_without(body, gone[ends[d] - w.counts[d] : ends[d]]) if removed[d] else body).decode() if known[d] else None)
-            else:
-                words = body.split()
-                kept = [x for x, g in zip(words, gone[ends[d] - w.counts[d] : ends[d]].tolist(), strict=True) if not g] if removed[d] else words
-                texts.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        columns = [docs.column(i) for i in range(docs.num_columns) if i != chunk_at]
-        at = text_at - (text_at > chunk_at)
-        columns[at] = pa.chunked_array([pa.array(texts, pa.string())])
-        return pa.table([*columns, pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64())], schema=kinds)
-
-    return cut
+        new[1:] = (spot[1:] != spot[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        self.n = np.diff(np.append(first, n))
+        self.doc, start = doc[first], begin[first]
+        self.at, self.ahead, self.anchor = start - self.word0[self.doc], spot[first] - start, kmer[spot[first]]
+        total = np.zeros(len(h) + 1, U)
+        np.cumsum(h * powers(_MULT, len(h)), out=total[1:])
+        whole = (total[start + self.n + window - 1] - total[start]) * powers(pow(_MULT, -1, 2**64), len(h))[start]
+        self.path = (tb.mix(whole + (self.n * 64 + self.ahead).astype(U) * U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.uint32).view(np.int32)
+
+
+def powers(r: int, n: int) -> np.ndarray:
+    out = np.full(n, U(r))
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    n = max(0, len(h) - k + 1)
+    acc = np.full(n, U(0x8EBC6AF09C88C6E3))
+    for i in range(k):
+        acc = (acc ^ h[i : i + n]) * U(0x9FB21C651E98DF25)
+        acc ^= acc >> U(29)
+    return tb.mix(acc)
+
+
+def _worded(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first document, end, word hashes, words of each) of blocks of texts."""
+    raw, offsets = tb.text_arrays(texts)
+    for i, j in tb.blocks(offsets, BLOCK):
+        part = raw[offsets[i] : offsets[j]]
+        starts, ends, counts = tb.word_spans(part, offsets[i : j + 1] - offsets[i])
+        yield i, j, tb.word_hashes(part, starts, ends), counts
+
+
+def _paths(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, _, h, counts in _worded(b.column(2)):
+                p = Paths(h, counts, window)
+                at = pa.array(p.doc + i)
+                columns = [b.column(0).take(at), b.column(1).take(at), pa.array(p.at.astype(np.int32)), pa.array(p.n.astype(np.int32)), pa.array(p.anchor.view(np.int64)), pa.array(p.path)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "at", "n", "e0", "e1"])
+
+    return run
+
+
+def _edges(window: int):
+    """Rows (id, th, text, paths: list of (at, n)) to their edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(3)
+            bounds = lists.offsets.to_numpy()
+            at, n = (lists.values.field(x).to_numpy() for x in range(2))
+            for i, j, h, counts in _worded(b.column(2)):
+                mine = slice(bounds[i], bounds[j])
+                owner = np.repeat(np.arange(i, j), np.diff(bounds[i : j + 1]))
+                reach = n[mine].astype(np.int64)
+                doc = np.repeat(owner, reach)
+                edge = np.repeat(at[mine] - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))
+                start = (np.cumsum(counts) - counts)[doc - i] + edge
+                acc = np.full(len(start), U(0x243F6A8885A308D3))
+                more = np.full(len(start), U(0x13198A2E03707344))
+                for s in range(window):
+                    acc = (acc ^ h[start + s]) * U(0x9FB21C651E98DF25)
+                    acc ^= acc >> U(29)
+                    more = more * U(_MULT) + h[start + s]
+                rows = pa.array(doc)
+                check = (tb.mix(more) >> U(32)).astype(np.uint32).view(np.int32)
+                columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array(edge.astype(np.int32)), pa.array(np.ones(len(edge), np.int32)), pa.array(tb.mix(acc).view(np.int64)), pa.array(check)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "at", "n", "e0", "e1"])
+
+    return run
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _digests(text_at: int):
+    """Rows (id, th, row, places: list of (at, words)) to the digests of the words there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, places = b.column(2).flatten()[text_at], b.column(3).to_pylist()
+            which, at, long, out = [], [], [], []
+            for i, asked in enumerate(places):
+                words = (texts[i].as_py() or "").encode().split()
+                for x in asked:
+                    which.append(i)
+                    at.append(x["at"])
+                    long.append(x["words"])
+                    out.append(_digest(words[x["at"] : x["at"] + x["words"]]))
+            rows = pa.array(which, pa.int64())
+            columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array(at, pa.int32()), pa.array(long, pa.int32()), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["sid", "sth", "sat", "words", "digest"])
+
+    return run
+
+
+def _gone(raw: bytes, spans) -> np.ndarray | None:
+    """Which words of a text its verified spans take, or None if there are none."""
+    if not spans:
+        return None
+    words = raw.split()
+    gone = np.zeros(len(words), bool)
+    for x in spans:
+        a, b = x["at"], x["at"] + x["words"]
+        if not gone[a:b].all() and _digest(words[a:b]) == x["digest"]:
+            gone[a:b] = True
+    return gone if gone.any() else None
+
+
+def _cut(text_at: int, keep_layout: bool):
+    """Rows (row, spans) to the row's columns with the text cut, or the hash of its kept words, then words and removed words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns, spans = b.column(0).flatten(), b.column(1).to_pylist()
+            raw, offsets = tb.text_arrays(columns[text_at])
+            known = columns[text_at].is_valid().to_pylist()
+            texts, n, removed = [], np.concatenate([[0], *(c for _, _, _, c in _worded(columns[text_at]))])[1:], []
+            for d, held in enumerate(spans):
+                body = raw[offsets[d] : offsets[d + 1]].tobytes()
+                gone = _gone(body, held)
+                removed.append(0 if gone is None else int(gone.sum()))
+                if keep_layout:
+                    texts.append((body if gone is None else _without(body, gone)).decode() if known[d] else None)
+                else:
+                    words = body.split()
+                    texts.append(hashlib.sha256(b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest())
+            columns[text_at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[f"c{i}" for i in range(len(columns))] + ["n_words", "n_removed"])
+
+    return run
 
 
 def _without(body: bytes, gone: np.ndarray) -> bytes:
@@ -231,24 +222,49 @@ def _without(body: bytes, gone: np.ndarray) -> bytes:
     return raw[keep].tobytes()
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, window: int, keep_layout: bool) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _same(a: str, b: str):
+    """That two sides of a join mean one document."""
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
-    spark, fields = docs.sparkSession, docs.schema.fields
+
+def spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Repeated spans of (id, th, text): id, th, at, words, and their sources sid, sth, sat. Not verified yet."""
+    kind = texts.schema["id"].dataType.simpleString()
+    row = f"id {kind}, th long, at int, n int, e0 long, e1 int"
+    paths = stored(texts.mapInArrow(_paths(window), row))
+    anchors = paths.groupBy("e0").agg(F.count("*").alias("m"), F.min("e1").alias("lo"), F.max("e1").alias("hi")).where("m > 1").select("e0", (F.col("lo") < F.col("hi")).alias("branch"))
+    repeated = stored(paths.join(anchors, "e0"))
+    split = repeated.where("branch").groupBy("id", "th").agg(F.collect_set(F.struct("at", "n")).alias("paths"))
+    edges = texts.alias("t").join(split.alias("p"), _same("t", "p")).select("t.id", "t.th", "t.text", "p.paths").mapInArrow(_edges(window), row)
+    pieces = stored(repeated.where("not branch").select("id", "th", "at", "n", "e0", "e1").unionAll(edges))
+
+    place = F.struct("id", "th", "at")
+    first = pieces.groupBy("e0", "e1").agg(F.min(place).alias("src"), F.max(place).alias("last")).where("src <> last").select("e0", "e1", "src")
+    copies = pieces.join(first, ["e0", "e1"]).where(place != F.col("src")).groupBy("id", "th", "at").agg(F.max("n").alias("n"), F.min("src").alias("src"))
+    along = Window.partitionBy("id", "th").orderBy("at")
+    shift = F.col("at") - F.col("src.at")
+    same = (F.lag("src.id").over(along).eqNullSafe(F.col("src.id"))) & (F.lag("src.th").over(along) == F.col("src.th")) & (F.lag(shift).over(along) == shift) & (F.lag(F.col("at") + F.col("n")).over(along) >= F.col("at"))
+    glued = copies.withColumn("island", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("island").over(along))
+    glued = glued.groupBy("id", "th", "island").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("n")).alias("end"), F.min("src").alias("src"))
+    return stored(glued.select("id", "th", "at", (F.col("end") - F.col("at") + window - 1).cast("int").alias("words"), F.col("src.id").alias("sid"), F.col("src.th").alias("sth"), F.col("src.at").alias("sat")))
+
+
+def _run(docs: DataFrame, id_col: str, text_col: str, window: int, keep_layout: bool) -> DataFrame:
+    fields = docs.schema.fields
     names = [f"c{i}" for i in range(len(fields))]
-    plain = docs.toDF(*names)
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
-    parts = ch.chunk_count(plain, names[text_at])
-    held = ch.dealt(plain, names[id_at], parts)
-    slim = ch.dealt(plain.select(names[id_at], names[text_at]), names[id_at], parts) if len(names) > 2 else held
-    spots = (2, 0, 1) if len(names) > 2 else (2, id_at, text_at)
-    first = slim.groupBy("chunk").applyInArrow(_ask_anchors(window, parts, *spots), ch.REQUEST)
-    said = first.groupBy("part").applyInArrow(_answer_anchors, ch.REQUEST)
-    second = slim.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(_ask_edges(window, parts, *spots), ch.REQUEST)
-    said = said.unionAll(second.groupBy("part").applyInArrow(_answer_edges, ch.REQUEST))
+    plain = docs.toDF(*names).withColumn(names[text_at], F.col(names[text_at]).cast("string"))
+    rows = plain.select(F.col(names[id_at]).alias("id"), F.xxhash64(names[text_at]).alias("th"), F.struct(*names).alias("row"))
+    found = spans(rows.select("id", "th", F.col(f"row.{names[text_at]}").alias("text")), window)
+
+    # the source's words, read at the coordinates; then each span with their digest goes to its own text
+    asked = found.select(F.col("sid").alias("id"), F.col("sth").alias("th"), F.struct(F.col("sat").alias("at"), "words").alias("place")).groupBy("id", "th").agg(F.collect_set("place").alias("places"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    read = rows.alias("t").join(asked.alias("a"), _same("t", "a")).select("t.id", "t.th", "t.row", "a.places").mapInArrow(_digests(text_at), f"sid {kind}, sth long, sat int, words int, digest binary").distinct()
+    source = F.col("f.sid").eqNullSafe(F.col("d.sid")) & (F.col("f.sth") == F.col("d.sth")) & (F.col("f.sat") == F.col("d.sat")) & (F.col("f.words") == F.col("d.words"))
+    checked = found.alias("f").join(read.alias("d"), source).groupBy("f.id", "f.th").agg(F.collect_set(F.struct("f.at", "f.words", "d.digest")).alias("spans"))
     out = T.StructType([T.StructField(f"c{i}", T.StringType() if i == text_at else f.dataType) for i, f in enumerate(fields)] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    cut = _cut(window, parts, len(names), id_at, text_at, keep_layout, names, to_arrow_schema(out))
-    return held.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(cut, out)
+    return rows.alias("t").join(checked.alias("c"), _same("t", "c"), "left").select("t.row", "c.spans").mapInArrow(_cut(text_at, keep_layout), out)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
