@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-dedup, substring dedup, decontamination, mixing to target weights.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
-columns of ``documents``. A null id is a document of its own; of rows that repeat an id one stays after near-dedup.
+columns of ``documents``. Of rows that repeat an id the one with the least hash of its text stays after near-dedup; rows
+without an id are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from quadrille.llm.substring_dedup import remove_repeats
 from quadrille.shipping import ship
 
 
+_PLAIN = {"string", "byte", "short", "integer", "long", "float", "double", "decimal", "boolean", "date", "timestamp", "binary"}
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the model is trained on a bounded sample of the labelled ones."""
     ship(spark)
@@ -30,10 +34,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: shingles of five words, similarity of 0.8 or more."""
     ship(spark)
-    found = near_duplicates(docs, k=5, percent=80)
-    gone = found.where("doc_id is not null and not kept").select("doc_id")
-    left = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    # rows without an id are known by their text, after all ids
+    stand_in = F.lit(1 << 62) + F.xxhash64(text).bitwiseAND((1 << 61) - 1)
+    rows = docs.toDF(*names).withColumn("key", F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), stand_in))
+    gone = near_duplicates(rows, k=5, percent=80, id_col="key", text_col=text).where("not kept").select("key").distinct()
+    order = F.struct(F.xxhash64(text), F.xxhash64(*[f.name for f in rows.schema.fields if f.dataType.typeName() in _PLAIN]))
+    one = rows.groupBy("key").agg(F.min_by(F.struct(*names), order).alias("row"))
+    return one.join(gone, "key", "left_anti").select("row.*").toDF(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

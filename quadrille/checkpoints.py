@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the session's spark.checkpoint.dir; only where that is unset, in a new temporary folder."""
+    """``df.checkpoint()`` in the session's spark.checkpoint.dir. Where it is unset, in a new temporary folder if driver
+    and executors are one process; on a cluster that is an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(shared)
     return df.checkpoint()
