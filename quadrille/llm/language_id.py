@@ -2,8 +2,8 @@
 
 A text is the average of the embeddings of its subwords: every 2, 3 and 4 bytes of the lower-cased letters with
 single word ends between them, hashed into ``BUCKETS``. Embeddings and softmax are trained together by stochastic
-gradient descent in numpy on a bounded sample (``SAMPLE`` labelled texts of each language, whole, and as many pieces
-of them), on the driver. A temperature is fitted on texts kept apart, so the score is calibrated; a text is rejected
+gradient descent in numpy on a bounded sample, on the driver: about ``SAMPLE`` labelled texts of each of the ``LANGUAGES``
+most frequent languages, whole texts of at most ``SAMPLE_BYTES``, and as many pieces of them. A temperature is fitted on texts kept apart, so the score is calibrated; a text is rejected
 if its score stays below the least score that all but ``REJECTED`` of the kept texts and pieces of known language
 reach. With a single learned language every score is 1, so only texts without a letter are rejected.
 
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from quadrille.llm import text_blocks as tb
 
 BUCKETS, DIM = 1 << 14, 16
-SAMPLE = 400
+SAMPLE, SAMPLE_BYTES, LANGUAGES = 400, 1 << 17, 256
+#: Bytes of a long text whose subwords are taken at once.
+STRETCH = 1 << 22
 EPOCHS, BATCH, RATE = 12, 64, 0.5
 REJECTED = 0.0005
 _U = np.uint32
@@ -37,28 +39,40 @@ _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
 
 
-def _grams(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets end to end, number in each document) of the grams of each size; one space stands at each end of a run of letters."""
+def _normal(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lower-cased letters with one space for a run of others and one at each end, end to end; length of each document)."""
     x = _LETTER[raw]
     keep = x != 32
     keep[1:] |= keep[:-1]  # one space for a run of non-letters
     kept = np.concatenate([[0], np.cumsum(keep)])
     n = np.diff(kept[offsets])
-    # a space before and after each document
     y = np.full(int(n.sum()) + 2 * len(n), 32, np.uint8)
     room = np.ones(len(y), bool)
     first = np.cumsum(n + 2) - (n + 2)
     room[first] = room[first + n + 1] = False
     y[room] = x[keep]
+    return y, n + 2
+
+
+def _hashed(y: np.ndarray) -> Iterator[np.ndarray]:
+    """Buckets of the grams of 2, 3 and 4 bytes that begin at each byte."""
     h = y.astype(_U)
     for size in (2, 3, 4):
         h = h[:-1] * _U(0x01000193) ^ y[size - 1 :]
-        whole = np.ones(len(h), bool)
+        z = h * _U(0x9E3779B1)
+        yield (z ^ (z >> _U(15))) & _U(BUCKETS - 1)
+
+
+def _grams(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets end to end, number in each document) of the grams of each size."""
+    y, n = _normal(raw, offsets)
+    first = np.cumsum(n) - n
+    for size, codes in zip((2, 3, 4), _hashed(y), strict=True):
+        whole = np.ones(len(codes), bool)
         for back in range(1, size):  # grams across a document's end
             at = first[1:] - back
-            whole[at[(at >= 0) & (at < len(h))]] = False
-        z = h[whole] * _U(0x9E3779B1)
-        yield (z ^ (z >> _U(15))) & _U(BUCKETS - 1), np.maximum(n + 3 - size, 0)
+            whole[at[(at >= 0) & (at < len(codes))]] = False
+        yield codes[whole], np.maximum(n + 1 - size, 0)
 
 
 def subwords(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -100,13 +114,7 @@ class Model:
             return best, score
         for i, j in tb.blocks(offsets, 1 << 20):
             part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            total, count = np.zeros((j - i, len(self.langs))), np.zeros(j - i, np.int64)
-            if j - i == 1 and len(part) > 1 << 22:  # a very long text goes in pieces cut at white space
-                for a, b in _pieces(part):
-                    t, c = _totals(part[a:b], np.array([0, b - a]), self.table)
-                    total, count = total + t, count + c
-            else:
-                total, count = _totals(part, at, self.table)
+            total, count = _long_totals(part, self.table) if j - i == 1 and len(part) > STRETCH else _totals(part, at, self.table)
             p = _softmax(total / np.maximum(count, 1)[:, None] / self.temperature)
             letters = _has_letter(part, at)
             best[i:j] = np.where(letters, p.argmax(1), -1)
@@ -114,14 +122,16 @@ class Model:
         return best, score
 
 
-def _pieces(part: np.ndarray, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(part):
-        end = min(len(part), at + size)
-        while end < len(part) and part[end] not in (32, 10):
-            end += 1
-        yield at, end
-        at = end
+def _long_totals(part: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_totals of one long text, whose grams are taken stretch by stretch, none lost between two."""
+    y, _ = _normal(part, np.array([0, len(part)]))
+    total, count = np.zeros((1, len(table))), 0
+    for a in range(0, len(y), STRETCH):
+        for codes in _hashed(y[a : a + STRETCH + 3]):
+            codes = codes[:STRETCH]
+            count += len(codes)
+            total[0] += [column[codes].sum(dtype=np.float64) for column in table]
+    return total, np.array([count])
 
 
 def _has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -199,11 +209,11 @@ def train(texts: list[str], langs: list[str], seed: int = 0) -> Model:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Trains on about ``sample`` rows of each language, those with the smallest hashes of their ids."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    rows = labelled.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_BYTES))
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
     if not counts:
         return train([], [])
-    share = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(min(1.0, sample / n))) for k, n in counts.items()])
+    share = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(min(1.0, sample / n))) for k, n in counts.items()], F.lit(0.0))
     order = (F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)).cast("double")
     chosen = rows.where(order < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("o"), F.octet_length(text_col).alias("b"))
     got = sorted(((r.o, r.lang, r.text) for r in chosen.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))

@@ -6,12 +6,14 @@ input, not on what is left.
 
 1. *Paths.* The edges that share their anchor, the k-mer of least hash inside them, follow each other in the text: they
    leave a document as one row, a path, with the anchor, the place and a hash of all its words. Equal edges have equal
-   anchors at equal distances, so an anchor that occurs once in the corpus holds nothing that repeats.
-2. *Branches.* An aggregation by anchor tells whether all paths through it are the same. If they are, the path does
-   not branch and stays compact, one row however many edges it has; the others are split into their edges again. Joins
-   bring this to the paths and, through the ids of documents, to the texts.
-3. *Sources.* The first place of every repeated path or edge is its source, joined to all its other places.
-4. *Spans.* Paths and edges that follow each other in a document and in their source are glued to one long span.
+   anchors at equal distances, so an anchor that occurs once in the corpus holds nothing that repeats, and a join with
+   the repeated anchors drops its path.
+2. *Branches.* Paths of equal words are one path of the graph, known by its first place. An anchor with a single such path
+   does not branch there: the path stays compact, one row however many edges and copies it has. Where several different
+   paths meet at an anchor, one copy of each is split into its edges, and aggregation and join give each edge's first
+   place. Edges of a path that follow each other at their first places too are compacted again.
+3. *Sources.* A join gives every copy of a path the first places of its parts: their sources.
+4. *Spans.* Parts that follow each other in a document and in their source are glued to one long span.
 5. *Verification.* The words at each span's source coordinates are read from the source's text, and the span is cut
    only if its own words have the same 128-bit digest.
 
@@ -19,8 +21,8 @@ No group is ever gathered: counts and first places are aggregated before the shu
 which adaptive execution splits where a key is hot. What is collected for one document is bounded by its own length.
 
 Defined results: a null text has no words. A text of fewer words than a window is kept. A null id is smaller than all
-others. Rows of one id and different texts count in the order of a hash of their texts; rows that repeat both id and
-text are one document, cut alike. Extra columns are carried along whatever their names.
+others. Rows of one id (or of none) and different texts count in the order of a hash of their texts; rows that repeat both
+id and text are one document, cut alike. Extra columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.llm import text_blocks as tb
-from quadrille.llm.checkpoints import stored
+from quadrille.llm.checkpoints import dropped, stored
 
 WINDOW, ANCHOR = 20, 6
 #: Bytes of text that the Python functions take apart at once; a longer text is one block.
@@ -120,30 +122,28 @@ def _paths(window: int):
 
 
 def _edges(window: int):
-    """Rows (id, th, text, paths: list of (at, n)) to their edges."""
+    """Rows (id, th, text, paths: list of (at, n, e0, e1, several)) to the edges of the paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(3)
             bounds = lists.offsets.to_numpy()
-            at, n = (lists.values.field(x).to_numpy() for x in range(2))
+            paths = lists.values.flatten()
+            at, n = (x.to_numpy().astype(np.int64) for x in paths[:2])
             for i, j, h, counts in _worded(b.column(2)):
-                mine = slice(bounds[i], bounds[j])
-                owner = np.repeat(np.arange(i, j), np.diff(bounds[i : j + 1]))
-                reach = n[mine].astype(np.int64)
-                doc = np.repeat(owner, reach)
-                edge = np.repeat(at[mine] - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))
-                start = (np.cumsum(counts) - counts)[doc - i] + edge
+                mine = np.arange(bounds[i], bounds[j])
+                edges = np.repeat(mine, n[mine])
+                off = np.arange(len(edges)) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
+                doc = np.repeat(np.repeat(np.arange(i, j), np.diff(bounds[i : j + 1])), n[mine])
+                start = (np.cumsum(counts) - counts)[doc - i] + at[edges] + off
                 acc = np.full(len(start), U(0x243F6A8885A308D3))
-                more = np.full(len(start), U(0x13198A2E03707344))
                 for s in range(window):
                     acc = (acc ^ h[start + s]) * U(0x9FB21C651E98DF25)
                     acc ^= acc >> U(29)
-                    more = more * U(_MULT) + h[start + s]
-                rows = pa.array(doc)
-                check = (tb.mix(more) >> U(32)).astype(np.uint32).view(np.int32)
-                columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array(edge.astype(np.int32)), pa.array(np.ones(len(edge), np.int32)), pa.array(tb.mix(acc).view(np.int64)), pa.array(check)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "at", "n", "e0", "e1"])
+                rows, of = pa.array(doc), pa.array(edges)
+                hashes = (tb.mix(acc) >> U(32)).astype(np.uint32).view(np.int32)
+                columns = [b.column(0).take(rows), b.column(1).take(rows), pa.array((at[edges] + off).astype(np.int32)), pa.array(off.astype(np.int32)), *(x.take(of) for x in paths[2:]), pa.array(hashes)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "at", "off", "e0", "e1", "several", "h"])
 
     return run
 
@@ -227,24 +227,42 @@ def _same(a: str, b: str):
     return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
 
 
+def _keyed(rows: DataFrame, text: str) -> DataFrame:
+    """Adds th, which with the id makes the key of a document: 0, or a hash of the text where the id is null or repeats."""
+    several = stored(rows.where("id is not null").groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_m")).where("_m > 1"))
+    return rows.join(several, rows["id"] == several["_id"], "left").withColumn("th", F.when(F.col("id").isNull() | F.col("_m").isNotNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))).drop("_id", "_m")
+
+
 def spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """Repeated spans of (id, th, text): id, th, at, words, and their sources sid, sth, sat. Not verified yet."""
     kind = texts.schema["id"].dataType.simpleString()
-    row = f"id {kind}, th long, at int, n int, e0 long, e1 int"
-    paths = stored(texts.mapInArrow(_paths(window), row))
-    anchors = paths.groupBy("e0").agg(F.count("*").alias("m"), F.min("e1").alias("lo"), F.max("e1").alias("hi")).where("m > 1").select("e0", (F.col("lo") < F.col("hi")).alias("branch"))
-    repeated = stored(paths.join(anchors, "e0"))
-    split = repeated.where("branch").groupBy("id", "th").agg(F.collect_set(F.struct("at", "n")).alias("paths"))
-    edges = texts.alias("t").join(split.alias("p"), _same("t", "p")).select("t.id", "t.th", "t.text", "p.paths").mapInArrow(_edges(window), row)
-    pieces = stored(repeated.where("not branch").select("id", "th", "at", "n", "e0", "e1").unionAll(edges))
+    paths = stored(texts.mapInArrow(_paths(window), f"id {kind}, th long, at int, n int, e0 long, e1 int"))
+    anchors = paths.groupBy("e0").agg(F.count("*").alias("m")).where("m > 1").select("e0")
+    copies = stored(paths.join(anchors, "e0"))
+    dropped(paths)
 
     place = F.struct("id", "th", "at")
-    first = pieces.groupBy("e0", "e1").agg(F.min(place).alias("src"), F.max(place).alias("last")).where("src <> last").select("e0", "e1", "src")
-    copies = pieces.join(first, ["e0", "e1"]).where(place != F.col("src")).groupBy("id", "th", "at").agg(F.max("n").alias("n"), F.min("src").alias("src"))
+    known = copies.groupBy("e0", "e1").agg(F.max("n").alias("n"), F.min(place).alias("src"), F.max(place).alias("last"))
+    known = stored(known.select("e0", "e1", "n", "src", (F.col("src") != F.col("last")).alias("several")))
+    branch = known.groupBy("e0").agg(F.count("*").alias("m")).where("m > 1").select("e0")
+    plain = known.where("several").join(branch, "e0", "left_anti").select("e0", "e1", F.array(F.struct(F.lit(0).alias("off"), "n", "src")).alias("parts"))
+
+    split = known.join(branch, "e0").select("src.id", "src.th", F.struct("src.at", "n", "e0", "e1", "several").alias("path")).groupBy("id", "th").agg(F.collect_list("path").alias("paths"))
+    edges = texts.alias("t").join(split.alias("p"), _same("t", "p")).select("t.id", "t.th", "t.text", "p.paths")
+    edges = stored(edges.mapInArrow(_edges(window), f"id {kind}, th long, at int, off int, e0 long, e1 int, several boolean, h int"))
+    first = edges.groupBy("e0", "h").agg(F.min(place).alias("src"), F.max(place).alias("last")).where("src <> last").select("e0", "h", "src")
+    held = edges.withColumn("own", place).join(first, ["e0", "h"], "left").withColumn("src", F.coalesce("src", "own")).where("several or src <> own")
+    held = held.groupBy("e0", "e1").agg(F.array_sort(F.collect_set(F.struct("off", "src"))).alias("x"))
+    follows = "x[i].off = x[i - 1].off + 1 and x[i].src.id <=> x[i - 1].src.id and x[i].src.th = x[i - 1].src.th and x[i].src.at = x[i - 1].src.at + 1"
+    held = held.withColumn("i", F.expr(f"filter(sequence(0, size(x) - 1), i -> i = 0 or not ({follows}))"))
+    parts = held.select("e0", "e1", F.expr("transform(i, (a, k) -> struct(x[a].off as off, coalesce(get(i, k + 1), size(x)) - a as n, x[a].src as src))").alias("parts"))
+
+    found = copies.select("id", "th", "at", "e0", "e1").join(plain.unionAll(parts), ["e0", "e1"]).select("id", "th", "at", F.explode("parts").alias("p"))
+    found = found.select("id", "th", (F.col("at") + F.col("p.off")).alias("at"), "p.n", "p.src").where(place != F.col("src"))
     along = Window.partitionBy("id", "th").orderBy("at")
     shift = F.col("at") - F.col("src.at")
     same = (F.lag("src.id").over(along).eqNullSafe(F.col("src.id"))) & (F.lag("src.th").over(along) == F.col("src.th")) & (F.lag(shift).over(along) == shift) & (F.lag(F.col("at") + F.col("n")).over(along) >= F.col("at"))
-    glued = copies.withColumn("island", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("island").over(along))
+    glued = found.withColumn("island", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("island").over(along))
     glued = glued.groupBy("id", "th", "island").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("n")).alias("end"), F.min("src").alias("src"))
     return stored(glued.select("id", "th", "at", (F.col("end") - F.col("at") + window - 1).cast("int").alias("words"), F.col("src.id").alias("sid"), F.col("src.th").alias("sth"), F.col("src.at").alias("sat")))
 
@@ -254,7 +272,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, window: int, keep_layout:
     names = [f"c{i}" for i in range(len(fields))]
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     plain = docs.toDF(*names).withColumn(names[text_at], F.col(names[text_at]).cast("string"))
-    rows = plain.select(F.col(names[id_at]).alias("id"), F.xxhash64(names[text_at]).alias("th"), F.struct(*names).alias("row"))
+    rows = _keyed(plain.select(F.col(names[id_at]).alias("id"), F.struct(*names).alias("row")), f"row.{names[text_at]}")
     found = spans(rows.select("id", "th", F.col(f"row.{names[text_at]}").alias("text")), window)
 
     # the source's words, read at the coordinates; then each span with their digest goes to its own text

@@ -2,7 +2,8 @@
 
 Only lengths leave the Arrow function. A text is cut at single spaces that stand between two non-space
 characters: the pre-tokenizer of a byte-level vocabulary always starts a new piece there, so the pieces'
-counts add up to the count of the whole text. Pieces repeat, so each distinct one is encoded once per
+counts add up to the count of the whole text. A long text without such spaces is cut where a letter or digit meets
+another kind of character, a new piece too, unless a special string lies across the cut. Pieces repeat, so each distinct one is encoded once per
 worker, in batches balanced by bytes; the memory of pieces is emptied when it holds ``MEMORY`` of them.
 
 Defined results: null or empty text: 0 bytes, 0 tokens. Special strings inside a text are handled as the
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ TEXT_CHARS = 1 << 20
 _RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _UNSAFE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Ends of runs of letters, and of digits, where the pre-tokenizer ends a piece whatever follows.
+_EDGE = regex.compile(r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}])")
 _state: dict = {}
 
 
@@ -44,6 +48,7 @@ def _encoder(path: str):
     tokenizer.no_padding()
     tokenizer.no_truncation()
     _state["tokenizer"] = tokenizer
+    _state["special"] = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -103,16 +108,32 @@ def _remember(known: dict[str, int], fresh: dict[str, int]) -> None:
             del known[p]
 
 
-def _stretches(text: str) -> Iterator[str]:
-    """A long text as stretches of about TEXT_CHARS, cut at safe spaces; the space at a cut begins the next one."""
-    at, n = 0, len(text)
+def _stretches(text: str, special: list[str] = ()) -> Iterator[tuple[bool, str]]:
+    """A long text as stretches of about TEXT_CHARS: (whether it follows a cut at a safe space, the text after that space)."""
+    at, n, spaced = 0, len(text), False
     while n - at > TEXT_CHARS:
-        cut = _SAFE.search(text, at + TEXT_CHARS)
-        if cut is None:
+        low, high = at + TEXT_CHARS, min(n, at + 2 * TEXT_CHARS)
+        cut = _SAFE.search(text, low, high)
+        if cut is not None:
+            yield spaced, text[at : cut.start()]
+            at, spaced = cut.end(), True
+            continue
+        edge = next((m.start() for m in _EDGE.finditer(text, low) if not _across(text, m.start(), special)), None)
+        space = _SAFE.search(text, high, edge) if edge is not None and edge > high else _SAFE.search(text, high) if edge is None else None
+        if space is not None:
+            yield spaced, text[at : space.start()]
+            at, spaced = space.end(), True
+        elif edge is not None:
+            yield spaced, text[at:edge]
+            at, spaced = edge, False
+        else:
             break
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:]
+    yield spaced, text[at:]
+
+
+def _across(text: str, at: int, special: list[str]) -> bool:
+    """Whether a special string lies across a place."""
+    return any(text.find(s, max(0, at - len(s) + 1), at + len(s) - 1) >= 0 for s in special if len(s) > 1)
 
 
 def _pieces(text: str) -> list[str]:
@@ -126,24 +147,26 @@ def _pieces(text: str) -> list[str]:
 
 def _count_split(s: dict, texts: list[str | None]) -> list[int]:
     """Counts of several texts; new pieces of all of them are encoded together."""
-    known, first, cut = s["known"], [], []
-    for text in texts:
+    known, first, owner, cut = s["known"], [], [], []
+    for at, text in enumerate(texts):
         parts: list[list[str]] = []
-        for i, stretch in enumerate(_stretches(text or "")):
-            if i:  # it begins with the space of the cut
-                parts.append(_pieces(stretch[1:]))
+        for spaced, stretch in _stretches(text or "", s["special"]):
+            head, *rest = _pieces(stretch)
+            if spaced:  # its head comes after the space of the cut, like all other pieces
+                rest = [head, *rest]
             else:
-                head, *rest = _pieces(stretch)
                 first.append(head)
-                parts.append(rest)
+                owner.append(at)
+            parts.append(rest)
         cut.append(parts)
     fresh = {}
     missing = set().union(*(x for parts in cut for x in parts)).difference(known)
     if missing:
         fresh = _learn(s, sorted(missing))
         known.update(fresh)
-    heads = s["encode"](first)
-    out = [h + sum(sum(map(known.__getitem__, x)) for x in parts) for h, parts in zip(heads, cut, strict=True)]
+    out = [sum(sum(map(known.__getitem__, x)) for x in parts) for parts in cut]
+    for at, n in zip(owner, s["encode"](first), strict=True):
+        out[at] += n
     for p in fresh:
         if len(p) > LONGEST_KEPT:
             del known[p]

@@ -96,6 +96,37 @@ def test_near_duplicates_of_nulls_and_nothing(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, False)]
 
 
+def test_near_duplicates_of_repeated_ids_ties_and_long_texts(spark):
+    from quadrille.llm.minhash import near_duplicates
+
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    long = words(0, 60_000)
+    rows = [(1, words(0, 50)), (2, words(100, 150)), (5, words(0, 50)), (5, words(100, 150)), (7, long), (8, long + " more"), (9, words(0, 50).upper())]
+    for _ in range(2):
+        got = sorted((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+        assert [x[:3] for x in got] == [(1, 1, True), (2, 1, False), (5, 1, False), (5, 1, False), (7, 7, True), (8, 7, False), (9, 1, False)]
+        assert got[4][3] == 59_998
+        rows.reverse()
+    alike = near_duplicates(spark.createDataFrame([(i, "all of one text here") for i in range(300)], "doc_id long, text string")).collect()
+    assert {r.component_id for r in alike} == {0} and sum(r.kept for r in alike) == 1
+
+
+def test_recall_of_links_on_the_test_table(spark):
+    """All pairs of the documents whose ids are divisible by 20 with all documents."""
+    from quadrille.llm.minhash import near_duplicates
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: _shingles(r.text, 3) for r in docs.collect()}
+    component = {r.doc_id: r.component_id for r in near_duplicates(docs, 3, 85).collect()}
+    links = 0
+    for i in (i for i in sets if i % 20 == 0):
+        for j, other in sets.items():
+            if i != j and sets[i] and other and 100 * len(sets[i] & other) >= 85 * len(sets[i] | other):
+                links += 1
+                assert component[i] == component[j]
+    assert links > 5
+
+
 def test_a_chain_of_copies_is_one_component(spark):
     from quadrille.llm.minhash import near_duplicates
 
@@ -142,6 +173,20 @@ def test_texts_of_unlearned_languages_are_rejected(spark, sf):
         assert accepted(known, model).count() >= 0.98 * known.count()
 
 
+def test_a_long_text_scores_as_its_grams_do(monkeypatch):
+    import pyarrow as pa
+
+    from quadrille.llm import language_id as li
+
+    model = li.train(["the cat sat on the mat with a hat"] * 20 + ["der hund lief durch den wald und bellte"] * 20, ["en"] * 20 + ["de"] * 20)
+    text = pa.array([" ".join(["the dog, runs", "der hund", "99 x"] * 300)])
+    whole = model.scores(text)
+    for stretch in (7, 100, 1001):
+        monkeypatch.setattr(li, "STRETCH", stretch)
+        got = model.scores(text)
+        assert got[0][0] == whole[0][0] and got[1][0] == pytest.approx(whole[1][0], abs=1e-9)
+
+
 # ---- 3
 
 
@@ -180,6 +225,32 @@ def test_passages(spark, monkeypatch):
         assert any(gone[i]) or cut[i] == t
 
 
+def test_passages_of_odd_rows(spark):
+    from quadrille.llm.substring_dedup import passages, remove_repeats
+
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    long = words(0, 40_000)
+    rows = [(None, words(0, 30), 1), (None, words(0, 30), 2), (3, words(5, 40), 3), (4, long, 4), (4, words(100, 130), 5), (4, words(500, 519), 6), (9, None, 7), (9, "", 8)]
+    for _ in range(2):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed) for r in passages(docs).collect())
+        by_hash = {r.n: r.h for r in spark.createDataFrame([(len(t.split()), t) for t in (long, words(100, 130))], "n int, t string").select("n", F.xxhash64("t").alias("h")).collect()}
+        short_first = by_hash[30] < by_hash[40_000]  # rows of one id are in the order of hashes of their texts
+        cut = 40 + 30 * short_first  # w0 to w39 stand before
+        assert got == sorted([(-1, 30, 0), (-1, 30, 0), (3, 35, 25), (4, 40_000, cut), (4, 30, 0 if short_first else 30), (4, 19, 0), (9, 0, 0), (9, 0, 0)])
+        rows.reverse()
+    clash = docs.withColumn("id", F.lit(1)).withColumn("th", F.lit("x")).withColumn("c0", F.array(F.lit(2)))
+    assert remove_repeats(clash).columns == [*clash.columns, "n_words", "n_removed"] and remove_repeats(clash).count() == len(rows)
+
+
+def test_a_span_is_cut_only_if_its_source_has_its_words():
+    from quadrille.llm.substring_dedup import _digest, _gone
+
+    words = [f"w{i}".encode() for i in range(50)]
+    right, wrong = {"at": 5, "words": 25, "digest": _digest(words[5:30])}, {"at": 20, "words": 25, "digest": _digest(words[21:46])}
+    assert _gone(b" ".join(words), [right, wrong]).tolist() == [5 <= i < 30 for i in range(50)]
+
+
 # ---- 4
 
 
@@ -376,6 +447,44 @@ def test_url_rules_need_no_share_of_the_corpus(spark):
     assert rules[("h:bad.org",)] == (12, 1.0) and rules[("h:half.org", "p:spam")] == (12, 1.0)
 
 
+def test_mined_rules_are_all_that_the_evidence_proves(spark):
+    """Against all combinations of tokens, with the same proof by Chernoff's bound."""
+    from itertools import combinations
+
+    from quadrille.llm.url_rules import CHANCE, MIN_CONFIDENCE, mine, tokens_of
+
+    r = random.Random(5)
+    urls = [f"x://h{r.randrange(4)}.org/{r.choice('abc')}/{r.choice('de')}" for _ in range(600)]
+    blocked = [(u, "h1.org/a/" in u or (u.endswith("/b/d") and "h2" in u) or r.random() < 0.02) for u in urls]
+    frame = spark.createDataFrame(blocked, "url string, blocked boolean")
+    sets = [(set(x.t), x.blocked) for x in frame.select(tokens_of(F.col("url")).alias("t"), "blocked").collect()]
+    base = sum(b for _, b in sets) / len(sets)
+
+    def proven(n, bad):
+        p = bad / n
+        rest = (1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0
+        return p >= MIN_CONFIDENCE and p > base and n * (p * math.log(p / base) + rest) >= -math.log(CHANCE)
+
+    every = sorted(set().union(*(t for t, _ in sets)))
+    rules = [set(c) for size in (1, 2, 3, 4) for c in combinations(every, size) for held in [[b for t, b in sets if set(c) <= t]] if held and proven(len(held), sum(held))]
+    mined = [set(x.antecedent) for x in mine(frame).collect()]
+    assert mined and all(m in rules for m in mined)
+    fits = lambda t, found: any(x <= t for x in found)
+    assert [fits(t, mined) for t, _ in sets] == [fits(t, rules) for t, _ in sets]
+
+
+def test_long_urls_end(spark):
+    from quadrille.llm.url_rules import judge
+
+    r = random.Random(1)
+    path = lambda n: "/".join(f"p{i}" for i in range(60) if r.random() < n)
+    urls = [(f"x://spam.org/{path(0.9)}", True) for _ in range(40)] + [(f"x://spam.org/{path(0.5)}", False) for _ in range(60)] + [(f"x://h{i}.org/{path(0.3)}", False) for i in range(300)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(urls)], "id long, blocked boolean")
+    got = {x.page_id: x.verdict for x in judge(pages, labels, rules=()).collect()}
+    assert len(got) == len(urls) and sum(got[i] == "block" for i in range(100, 400)) == 0
+
+
 def test_main_text(spark):
     from quadrille.llm.html_text import extract, main_text
 
@@ -404,6 +513,38 @@ def test_template_inside_articles(spark):
     assert [got[100 + i] for i in range(12)] == ["\n".join(c) for c in copies]
 
 
+def test_pages_of_labelled_content(spark):
+    """120 pages of three hosts whose templates differ; what each page's article says is known. Another template gives another text."""
+    from quadrille.llm.html_text import _mark, block_key, extract, framed, text_of
+
+    r = random.Random(9)
+    vocabulary = [f"{a}{b}" for a in ("lo", "ma", "ti", "ke", "su", "ra") for b in ("n", "ra", "vel", "mit", "so")]
+    line = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    rows, want = [], {}
+    for i in range(120):
+        host, own = i % 3, [line(r.randint(4, 40)) for _ in range(r.randint(1, 6))]
+        want[i] = "\n".join(own)
+        if host == 0:
+            body = f"<nav><a>Home</a></nav><article><div class=x>Posted by the desk</div>{''.join(f'<p>{x}</p>' for x in own)}<p>Tell your friends</p></article>"
+        elif host == 1:
+            body = f"<div class=top>One of our pages</div><div class=text>{''.join(f'<p>{x}</p>' for x in own)}</div><div class=end>All rights kept</div>"
+        else:
+            body = f"<table><tr><td>Menu of it</td></tr></table><div class=c{'<b>' * 0}>{''.join(f'<p>{x}' for x in own)}</div><footer>end</footer>"
+        rows.append((i, f"http://host{host}.org/{i}", f"<html><body>{body}</body></html>"))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in extract(docs).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want), [(got[i], want[i]) for i in want if got[i] != want[i]][:3]
+    held = framed(rows[0][2])[1]
+    bare = text_of(held)
+    assert bare != got[0] and text_of(held, frozenset({block_key(held[1][1][0], _mark(held[1][1][1]))})) != bare
+    odd = docs.limit(0)
+    assert extract(odd).count() == 0
+    wide = docs.withColumn("kind", F.lit("q")).withColumn("host", F.lit(1)).withColumn("id", F.lit(2))
+    assert {x.page_id: x.text for x in extract(wide).collect()} == got
+    long = spark.createDataFrame([(1, "http://l.org/", "<p>" + "</p><p>".join(f"word {i}" for i in range(50_000)))], "page_id long, url string, html string")
+    assert extract(long).first().text.count("\n") == 49_999
+
+
 def test_every_kind_of_page_has_pilots(spark):
     from quadrille.llm.html_text import extract
 
@@ -463,8 +604,8 @@ def test_decontamination(spark):
 
     r = random.Random(2)
     vocabulary = [f"w{i}" for i in range(400)]
-    items = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in (5, 12, 30, 60)] + ["too short", None, ""]
-    texts = [t for t in _texts(30)]
+    items = [" ".join(r.choice(vocabulary) for _ in range(n)) for n in (5, 12, 30, 60)] + ["Too short", None, "", "w1"]
+    texts = [*_texts(30), "one is too short.", "what is TOO  short is", "too", "w11 w2"]
     for i, item in enumerate(items[:4]):
         w = item.split()
         noisy = [x if k % 29 else "zz" for k, x in enumerate(w, 1)]
@@ -481,7 +622,11 @@ def test_decontamination(spark):
         w = _words(t, True)
         for j, item in enumerate(items):
             v = _words(item, True)
-            if len(v) < k or not w:
+            if not v or not w:
+                continue
+            if len(v) < k:
+                if any(w[s : s + len(v)] == v for s in range(len(w))):
+                    want[d, j] = 1.0
                 continue
             sh = lambda u: [tuple(u[i : i + k]) for i in range(len(u) - k + 1)]
             best = max(similarity(sh(w[s : s + len(v)]), sh(v)) for s in range(max(1, len(w) - len(v) + 1)))
@@ -495,6 +640,44 @@ def test_decontamination(spark):
     assert contaminated(_empty(spark), bench).count() == 0 and contaminated(_docs(spark), bench.limit(0)).count() == 0
 
 
+def test_recall_of_decontamination_on_the_test_table(spark):
+    from quadrille.llm.decontaminate import contaminated
+
+    path = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
+    sh = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    items = {r.item_id: _words(r.text, True) for r in bench.collect()}
+    holders = defaultdict(set)
+    for j, v in items.items():
+        for x in sh(v):
+            holders[x].add(j)
+    want = set()
+    for r in docs.where("doc_id % 20 = 0").collect():
+        w = _words(r.text, True)
+        for j in set().union(*(holders.get(x, set()) for x in sh(w))):
+            v = items[j]
+            own = Counter(sh(v))
+            for s in range(max(1, len(w) - len(v) + 1)):
+                x = Counter(sh(w[s : s + len(v)]))
+                if 5 * sum((x & own).values()) >= 4 * sum((x | own).values()):
+                    want.add((r.doc_id, j))
+                    break
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()}
+    assert {x for x in got if x[0] % 20 == 0} == want and len(want) > 2
+
+
+def test_clean_drops_only_the_rows_that_hold_an_item(spark):
+    from quadrille.llm.decontaminate import clean, contaminated
+
+    item = "one two three four five six seven eight"
+    rows = [(None, f"so {item} it is", 1), (None, "nothing of the kind at all here", 2), (3, item, 3), (3, "another text of this id", 4), (4, None, 5), (5, "", 6), (6, "x " * 50_000 + item, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _bad int").withColumn("doc", F.lit(1)).withColumn("mark", F.lit("m"))
+    bench = spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
+    left = clean(docs, bench)
+    assert left.columns == docs.columns and sorted(r._bad for r in left.collect()) == [2, 4, 5, 6]
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == {(i, j) for i in (None, 3, 6) for j in (1, 2)}
+
+
 # ---- 10
 
 
@@ -513,6 +696,9 @@ def test_token_counts(spark, monkeypatch):
     assert all(got[i].n_bytes == len((t or "").encode()) and got[i].over_limit == (want[i] > 100) for i, t in enumerate(texts))
     monkeypatch.setattr(tc, "TEXT_CHARS", 50)
     assert tc.count_texts(path, texts) == want
+    solid = ["漢字かな交じり文。句点、" * 40, "var a=1;b=a+2;it's(c)" * 60, "ab12cd345" * 50, "x<|endoftext|>y." * 40, "a" * 400, "é1" * 200 + "  end"]
+    assert tc.count_texts(path, solid) == [len(library.encode(t, add_special_tokens=False)) for t in solid]
+    assert max(len(x) for _, x in tc._stretches(solid[0])) < 200 and max(len(x) for _, x in tc._stretches(solid[1])) < 200
     piece = public_tokenizers.path("piece_bpe_32k.model")
     import sentencepiece
 
@@ -541,10 +727,13 @@ def test_pipeline(spark, sf):
 def test_pipeline_with_odd_rows(spark, sf):
     import corpus_pipeline as cp
 
-    rows = [(None, "the same old words again and again for good", "en", "s", 10), (None, None, None, None, 0), (1, "", "en", "s", 0), (2, "the same old words again and again for good", "en", None, 3), (2, "the same old words again and again for good", "en", None, 3)]
+    rows = [(None, "the same old words again and again for good", "en", "s", 11), (7, "another text of one id that stands twice here", "en", "s", 12), (7, "one more text of one id, not the same", "en", "s", 13), (None, "the same old words again and again for good", "en", "s", 10), (None, None, None, None, 0), (1, "", "en", "s", 0), (2, "the same old words again and again for good", "en", None, 3), (2, "the same old words again and again for good", "en", None, 3)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
-        for _, stage in cp.STAGES:
+        for name, stage in cp.STAGES:
             out = stage(spark, docs, sf)
+            if name == "near_dedup" and data:
+                assert sorted(r.doc_id for r in out.where("doc_id is not null").collect()) == sorted({r.doc_id for r in docs.where("doc_id is not null").collect()})
+                assert out.where("doc_id is null and text is not null").count() <= docs.where("doc_id is null and text is not null").distinct().count()
             docs = spark.createDataFrame(out.collect(), out.schema)
