@@ -18,7 +18,8 @@ input, not on what is left.
    only if its own words have the same 128-bit digest.
 
 No group is ever gathered: counts and first places are aggregated before the shuffle, and everything else is a join,
-which adaptive execution splits where a key is hot. What is collected for one document is bounded by its own length.
+which adaptive execution splits where a key is hot. It can do so only between two plain shuffles, so what is joined to a
+table with hot keys is stored first. What is collected for one document is bounded by its own length.
 
 Defined results: a null text has no words. A text of fewer words than a window is kept. A null id is smaller than all
 others. Rows of one id (or of none) and different texts count in the order of a hash of their texts; rows that repeat both
@@ -237,20 +238,22 @@ def spans(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """Repeated spans of (id, th, text): id, th, at, words, and their sources sid, sth, sat. Not verified yet."""
     kind = texts.schema["id"].dataType.simpleString()
     paths = stored(texts.mapInArrow(_paths(window), f"id {kind}, th long, at int, n int, e0 long, e1 int"))
-    anchors = paths.groupBy("e0").agg(F.count("*").alias("m")).where("m > 1").select("e0")
+    anchors = stored(paths.groupBy("e0").agg(F.count("*").alias("m")).where("m > 1").select("e0"))
     copies = stored(paths.join(anchors, "e0"))
     dropped(paths)
 
     place = F.struct("id", "th", "at")
     known = copies.groupBy("e0", "e1").agg(F.max("n").alias("n"), F.min(place).alias("src"), F.max(place).alias("last"))
     known = stored(known.select("e0", "e1", "n", "src", (F.col("src") != F.col("last")).alias("several")))
-    branch = known.groupBy("e0").agg(F.count("*").alias("m")).where("m > 1").select("e0")
+    branch = stored(known.groupBy("e0").agg(F.count("*").alias("m")).where("m > 1").select("e0"))
     plain = known.where("several").join(branch, "e0", "left_anti").select("e0", "e1", F.array(F.struct(F.lit(0).alias("off"), "n", "src")).alias("parts"))
 
     split = known.join(branch, "e0").select("src.id", "src.th", F.struct("src.at", "n", "e0", "e1", "several").alias("path")).groupBy("id", "th").agg(F.collect_list("path").alias("paths"))
+    split = stored(split)
     edges = texts.alias("t").join(split.alias("p"), _same("t", "p")).select("t.id", "t.th", "t.text", "p.paths")
     edges = stored(edges.mapInArrow(_edges(window), f"id {kind}, th long, at int, off int, e0 long, e1 int, several boolean, h int"))
     first = edges.groupBy("e0", "h").agg(F.min(place).alias("src"), F.max(place).alias("last")).where("src <> last").select("e0", "h", "src")
+    first = stored(first)
     held = edges.withColumn("own", place).join(first, ["e0", "h"], "left").withColumn("src", F.coalesce("src", "own")).where("several or src <> own")
     held = held.groupBy("e0", "e1").agg(F.array_sort(F.collect_set(F.struct("off", "src"))).alias("x"))
     follows = "x[i].off = x[i - 1].off + 1 and x[i].src.id <=> x[i - 1].src.id and x[i].src.th = x[i - 1].src.th and x[i].src.at = x[i - 1].src.at + 1"
@@ -276,11 +279,13 @@ def _run(docs: DataFrame, id_col: str, text_col: str, window: int, keep_layout:
     found = spans(rows.select("id", "th", F.col(f"row.{names[text_at]}").alias("text")), window)
 
     # the source's words, read at the coordinates; then each span with their digest goes to its own text
-    asked = found.select(F.col("sid").alias("id"), F.col("sth").alias("th"), F.struct(F.col("sat").alias("at"), "words").alias("place")).groupBy("id", "th").agg(F.collect_set("place").alias("places"))
+    asked = stored(found.select(F.col("sid").alias("id"), F.col("sth").alias("th"), F.struct(F.col("sat").alias("at"), "words").alias("place")).groupBy("id", "th").agg(F.collect_set("place").alias("places")))
     kind = docs.schema[id_col].dataType.simpleString()
-    read = rows.alias("t").join(asked.alias("a"), _same("t", "a")).select("t.id", "t.th", "t.row", "a.places").mapInArrow(_digests(text_at), f"sid {kind}, sth long, sat int, words int, digest binary").distinct()
+    read = rows.alias("t").join(asked.alias("a"), _same("t", "a")).select("t.id", "t.th", "t.row", "a.places").mapInArrow(_digests(text_at), f"sid {kind}, sth long, sat int, words int, digest binary")
+    read = stored(read.distinct())
     source = F.col("f.sid").eqNullSafe(F.col("d.sid")) & (F.col("f.sth") == F.col("d.sth")) & (F.col("f.sat") == F.col("d.sat")) & (F.col("f.words") == F.col("d.words"))
     checked = found.alias("f").join(read.alias("d"), source).groupBy("f.id", "f.th").agg(F.collect_set(F.struct("f.at", "f.words", "d.digest")).alias("spans"))
+    checked = stored(checked)
     out = T.StructType([T.StructField(f"c{i}", T.StringType() if i == text_at else f.dataType) for i, f in enumerate(fields)] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return rows.alias("t").join(checked.alias("c"), _same("t", "c"), "left").select("t.row", "c.spans").mapInArrow(_cut(text_at, keep_layout), out)
 

@@ -482,7 +482,7 @@ def test_long_urls_end(spark):
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
     labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(urls)], "id long, blocked boolean")
     got = {x.page_id: x.verdict for x in judge(pages, labels, rules=()).collect()}
-    assert len(got) == len(urls) and sum(got[i] == "block" for i in range(100, 400)) == 0
+    assert len(got) == len(urls) and sum(got[i] == "block" for i in range(40)) >= 36
 
 
 def test_main_text(spark):
