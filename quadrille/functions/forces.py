@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +57,62 @@ def orbit(strength: float) -> Vec:
     return times(unit(_cross(_cross(position(), velocity()), position())), 0.05 * strength)
 
 
+def solenoid(strength: float, coil: float = 2.5) -> Vec:
+    """Along the field of one coil about the vertical axis; straight down on the axis."""
+    x, y, z = position()
+    out = F.sqrt(x * x + z * z)
+    near, far = (coil - out) * (coil - out) + y * y, (coil + out) * (coil + out) + y * y
+    ratio = near / far
+    field = (-(y * x) / out, out - coil * (1 + ratio) / (1 - ratio + 1e-6), -(y * z) / out)
+    n = length(field)
+    on_axis = (out < 1e-6) | (n < 1e-6)
+    still = (0.0, -0.045 * strength, 0.0)
+    return tuple(F.when(on_axis, s).otherwise(c / n * (0.045 * strength)) for s, c in zip(still, field, strict=True))
+
+
+#: The figures in the order they are called.
+FIGURES = ("swing", "grandChain", "gather", "swing", "scatter", "mill")
+
+
+def called(bodies: DataFrame, frame: float, period: float = 160.0, seed: int = 0, tightness: float = 1.0, gain: float = 0.08, speed: float = 0.6) -> DataFrame:
+    """Force towards the motion of the figure called at a frame: id, fx, fy, fz. Ids are 0 to n - 1.
+
+    Pairs of a swing turn about their middle; the partner moves on by one with every figure."""
+    number = int(frame // max(1.0, period))
+    figure, n = FIGURES[(number + seed) % len(FIGURES)], bodies.count()
+    p = position()
+    held = bodies
+    if figure == "swing":
+        step = 1 + number % (n - 1) if n > 1 else 0
+        other = bodies.select(F.col("id").alias("_j"), *[F.col(c).alias(f"_{c}") for c in ("px", "pz")])
+        held = bodies.withColumn("_j", F.pmod(F.col("id") + step, F.lit(max(1, n)))).join(other, "_j")
+        rx, rz = (p[0] - F.col("_px")) / 2, (p[2] - F.col("_pz")) / 2
+        goal = times(unit((rz, F.lit(0.0), -rx)), speed)
+    elif figure == "grandChain":
+        goal = times(unit((p[2], F.lit(0.0), -p[0])), F.when(F.col("id") % 2 == 0, speed).otherwise(-speed))
+    elif figure == "mill":
+        turn = F.pmod((F.col("id") + 1) * 2654435761, F.lit(1 << 32)) / float((1 << 32) - 1) * (2 * math.pi)
+        goal = (F.cos(turn) * (0.4 * speed), F.lit(0.0), F.sin(turn) * (0.4 * speed))
+    else:
+        goal = times(unit(p), speed if figure == "scatter" else -speed)
+    push = times(tuple(g - v for g, v in zip(goal, velocity(), strict=True)), gain * tightness)
+    return held.select("id", *[c.alias(k) for c, k in zip(push, ("fx", "fy", "fz"), strict=True)])
+
+
+def tapped(bodies: DataFrame) -> DataFrame:
+    """Positions and velocities of bodies, for what reads forces: id, px, py, pz, vx, vy, vz."""
+    return bodies.select("id", *[f"{k}{c}" for k in "pv" for c in "xyz"])
+
+
 def gathered(bodies: DataFrame, radius: float, kind: str, strength: float, rest: float = 0.0) -> DataFrame:
     """Force of the bodies within the radius: id, fx, fy, fz. kind: cohere, separate or spring."""
     slim = bodies.select("id", "px", "py", "pz")
-    pairs = within_radius(slim, slim, radius, ("px", "py", "pz")).where("a_id <> b_id and d2 > 0")
+    pairs = within_radius(slim, slim, radius, ("px", "py", "pz")).where("a_id <> b_id" if kind == "cohere" else "a_id <> b_id and d2 > 1e-6")
     d = F.sqrt("d2")
     gap = [F.col(f"a_{c}") - F.col(f"b_{c}") for c in ("px", "py", "pz")]
     names = ("fx", "fy", "fz")
     if kind == "cohere":
-        sums = pairs.groupBy(F.col("a_id").alias("id")).agg(*[F.avg(-g).alias(n) for g, n in zip(gap, names, strict=True)])
-        sums = sums.select("id", *[c.alias(n) for c, n in zip(times(unit(tuple(F.col(n) for n in names)), 0.02 * strength), names, strict=True)])
+        sums = pairs.groupBy(F.col("a_id").alias("id")).agg(*[(F.avg(-g) * (0.012 * strength)).alias(n) for g, n in zip(gap, names, strict=True)])
     else:
         scale = (1 - F.col("d2") / (radius * radius)) * 0.06 * strength / d if kind == "separate" else (d - rest) * (-0.03 * strength) / d
         sums = pairs.groupBy(F.col("a_id").alias("id")).agg(*[F.sum(g * scale).alias(n) for g, n in zip(gap, names, strict=True)])
@@ -81,9 +129,33 @@ def partner(bodies: DataFrame, offset: int, strength: float) -> DataFrame:
     return held.select("id", *[c.alias(k) for c, k in zip(push, ("fx", "fy", "fz"), strict=True)])
 
 
-def integrate(bodies: DataFrame, dt: float = 1.0, damping: float = 0.98, fastest: float = 2.0) -> DataFrame:
-    """One step of (p, v) under f: velocities damped and held below ``fastest``."""
-    v = tuple((F.col(f"v{k}") + F.col(f"f{k}") * dt) * damping for k in "xyz")
-    speed = length(v)
-    v = tuple(F.when(speed > fastest, c * fastest / speed).otherwise(c) for c in v)
-    return bodies.select("id", *[(F.col(f"p{k}") + c * dt).alias(f"p{k}") for k, c in zip("xyz", v, strict=True)], *[c.alias(f"v{k}") for k, c in zip("xyz", v, strict=True)])
+def integrate(bodies: DataFrame, dt: float = 1.0, time_factor: float = 0.2, jerk: float = 0.05, damping: float = 0.96, spin_damping: float = 0.9, fastest: float = 1.2, farthest: float = 40.0, face: float = 0.3) -> DataFrame:
+    """One step of rigid bodies under f: p, v, a (acceleration), o (orientation as axis times angle), w (spin), each x, y, z.
+
+    The acceleration goes towards the force by at most ``jerk`` dt; velocities are damped and held below ``fastest``,
+    positions within ``farthest``, where half the velocity stays; bodies turn towards their motion."""
+    step = dt * time_factor
+    three = lambda k: tuple(F.col(f"{k}{c}") for c in "xyz")
+    put = lambda df, k, v: df.withColumns({f"{k}{c}": e for c, e in zip("xyz", v, strict=True)})
+    gap = tuple(f - a for f, a in zip(three("f"), three("a"), strict=True))
+    far = length(gap)
+    reach = F.when((far <= jerk * dt) | (far < 1e-9), 1.0).otherwise(jerk * dt / far)
+    held = put(bodies, "a", tuple(a + g * reach for a, g in zip(three("a"), gap, strict=True)))
+    held = put(held, "v", tuple((v + a * step) * damping for v, a in zip(three("v"), three("a"), strict=True)))
+    fast = length(three("v"))
+    held = put(held, "v", tuple(F.when(fast > fastest, v * (F.lit(fastest) / fast)).otherwise(v) for v in three("v")))
+    held = put(held, "p", tuple(p + v * step for p, v in zip(three("p"), three("v"), strict=True)))
+    held = held.withColumn("_r", length(three("p")))
+    out = F.col("_r") > farthest
+    held = put(held, "v", tuple(F.when(out, v * 0.5).otherwise(v) for v in three("v")))
+    held = put(held, "p", tuple(F.when(out, p * (F.lit(farthest) / F.col("_r"))).otherwise(p) for p in three("p")))
+    # the forward axis: (0, 0, 1) turned about o by its length
+    held = held.withColumns({"_t": length(three("o")), "_s": length(three("v"))})
+    axis = tuple(F.when(F.col("_t") > 1e-9, c / F.col("_t")).otherwise(float(k == 2)) for k, c in enumerate(three("o")))
+    cos, sin = F.cos("_t"), F.sin("_t")
+    ahead = (axis[1] * sin + axis[0] * axis[2] * (1 - cos), axis[1] * axis[2] * (1 - cos) - axis[0] * sin, cos + axis[2] * axis[2] * (1 - cos))
+    moving = F.col("_s") > 1e-3
+    turn = _cross(ahead, tuple(v / F.col("_s") for v in three("v")))
+    held = put(held, "w", tuple((w + F.when(moving, t * face).otherwise(0.0) * step) * spin_damping for w, t in zip(three("w"), turn, strict=True)))
+    held = put(held, "o", tuple(o + w * step for o, w in zip(three("o"), three("w"), strict=True)))
+    return held.select("id", *[f"{k}{c}" for k in "pvaow" for c in "xyz"])

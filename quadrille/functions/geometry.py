@@ -61,6 +61,38 @@ def ring_area(ring: list[tuple[float, float]]) -> float:
     return sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
 
 
+def oriented(rings: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """Rings turned so that outer ones run counter-clockwise and holes clockwise, by how many others hold their first vertex."""
+    def holds(ring, x, y):
+        cuts = [(bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True) if (ay > y) != (by > y)]
+        return sum(c > x for c in cuts) % 2 == 1
+
+    depth = [sum(holds(other, *ring[0]) for other in rings if other is not ring) for ring in rings]
+    return [ring if (ring_area(ring) > 0) == (d % 2 == 0) else ring[::-1] for ring, d in zip(rings, depth, strict=True)]
+
+
+def disk_polygon_area(x: Column, y: Column, r: Column, rings: list[list[tuple[float, float]]]) -> Column:
+    """Area of the disk about (x, y) within a polygon: for each edge the signed part of the disk in the triangle of its ends
+    and the centre, which is a triangle between the points where the edge cuts the circle and sectors outside them."""
+    total = F.lit(0.0)
+    turn = lambda p, q: F.atan2(p[0] * q[1] - p[1] * q[0], p[0] * q[0] + p[1] * q[1])
+    for ring in oriented(rings):
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            dx, dy = bx - ax, by - ay
+            n = dx * dx + dy * dy
+            if n == 0:
+                continue
+            a, b = (ax - x, ay - y), (bx - x, by - y)
+            middle = -(a[0] * dx + a[1] * dy) / n
+            inside = middle * middle - (a[0] * a[0] + a[1] * a[1] - r * r) / n
+            half = F.sqrt(F.greatest(inside, F.lit(0.0)))
+            clamp = lambda t: F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+            at = lambda t, a=a, dx=dx, dy=dy: (a[0] + t * dx, a[1] + t * dy)
+            p, q = at(clamp(middle - half)), at(clamp(middle + half))
+            total = total + 0.5 * (r * r * (turn(a, p) + turn(q, b)) + (p[0] * q[1] - p[1] * q[0]))
+    return total
+
+
 def check_simple(rings: list[list[tuple[float, float]]]) -> None:
     """Raises ValueError if two edges that are not neighbours cross."""
     edges = [(r, i, a, b) for r, ring in enumerate(rings) for i, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1], strict=True))]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,3 +115,43 @@ def oklab_sql(r: str, g: str, b: str) -> list[str]:
     linear = [f"(case when {c} <= 0.04045 then {c} / 12.92 else pow(({c} + 0.055) / 1.055, 2.4) end)" for c in (r, g, b)]
     cones = [f"cbrt({' + '.join(f'{w!r} * {c}' for w, c in zip(m, linear, strict=True))})" for m in _LMS]
     return [" + ".join(f"({w!r}) * {c}" for w, c in zip(m, cones, strict=True)) for m in _LAB]
+
+
+def mapped_srgb(light: np.ndarray, chroma: np.ndarray, hue: np.ndarray) -> np.ndarray:
+    """sRGB, rows of three from 0 to 1, of polar Oklab colours; what is outside the gamut loses chroma until it is inside."""
+    lms, lab = np.linalg.inv(np.array(_LMS)), np.linalg.inv(np.array(_LAB))
+
+    def linear(c: np.ndarray) -> np.ndarray:
+        return (np.stack([light, c * np.cos(hue), c * np.sin(hue)], 1) @ lab.T) ** 3 @ lms.T
+
+    inside = lambda c: ((linear(c) >= -1e-6) & (linear(c) <= 1 + 1e-6)).all(1)
+    low, high = np.zeros_like(chroma), chroma.copy()
+    for _ in range(24):
+        middle = (low + high) / 2
+        good = inside(middle)
+        low, high = np.where(good, middle, low), np.where(good, high, middle)
+    rgb = np.clip(linear(np.where(inside(chroma), chroma, low)), 0, 1)
+    return np.where(rgb <= 0.0031308, 12.92 * rgb, 1.055 * rgb ** (1 / 2.4) - 0.055)
+
+
+def diverging(t: Column, negative: float = math.radians(250), positive: float = math.radians(29), centre: float = 0.97, end: float = 0.55, chroma: float = 0.15) -> Column:
+    """A ramp over [-1, 1] as [r, g, b]: lightness and chroma follow |t|, so both signs stand out alike; the hue is the sign's."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        x = np.clip(x.to_numpy(float), -1, 1)
+        size = np.abs(x)
+        return pd.Series(list(mapped_srgb(centre + (end - centre) * size, chroma * size, np.where(x < 0, negative, positive))))
+
+    return run(t)
+
+
+def sequential(t: Column, hue: float, dark: float = 0.14, bright: float = 0.86, chroma: float = 0.15) -> Column:
+    """A ramp over [0, 1] at one hue as [r, g, b]: lighter and more colourful towards 1."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        x = np.clip(x.to_numpy(float), 0, 1)
+        return pd.Series(list(mapped_srgb(dark + (bright - dark) * x, chroma * x**0.4, np.full(len(x), hue))))
+
+    return run(t)

@@ -112,6 +112,22 @@ def _spread_squared(points: DataFrame, box: Box, width: int, height: int, radius
     return near.groupBy(id_col).agg(F.sum(k * k).alias("e"))
 
 
+def null_mean_gram(points: DataFrame, box: Box, width: int, height: int, radius: float, degree: int | str, by: str = "channel") -> DataFrame:
+    """Mean overlap of channels when their labels are dealt at random over all points: a, b, expected.
+
+    With R the integral of the squared kernel and P the overlap of all points without their self terms, it is
+    R n_a [a = b] + P (n_a n_b - n_a [a = b]) / (n (n - 1)): one raster of all points, however many labellings."""
+    pixel = (box[2] - box[0]) * (box[3] - box[1]) / (width * height)
+    r = scales.roughness(radius, degree)
+    every = splat_channels(points.select("x", "y", F.lit(0).alias("channel")), box, width, height, radius, degree)
+    total = every.agg((F.sum(F.col("v") * F.col("v")) * pixel).alias("c")).crossJoin(points.agg(F.count("*").cast("double").alias("n")))
+    own = points.groupBy(by).agg(F.count("*").cast("double").alias("m"))
+    both = own.toDF("a", "ma").crossJoin(F.broadcast(own.toDF("b", "mb"))).crossJoin(F.broadcast(total))
+    same = F.when(F.col("a") == F.col("b"), F.col("ma")).otherwise(0.0)
+    spread = (F.col("c") - F.col("n") * r) * (F.col("ma") * F.col("mb") - same) / (F.col("n") * (F.col("n") - 1))
+    return both.select("a", "b", F.when(F.col("n") < 2, 0.0).otherwise(same * r + spread).alias("expected"))
+
+
 def apron_coverage(points: DataFrame, box: Box, radius: float, by: str = "channel") -> DataFrame:
     """Per channel: mass in the window, mass in the ring about it as wide as the radius, and the ratio of their densities."""
     area = (box[2] - box[0]) * (box[3] - box[1])

@@ -184,6 +184,27 @@ def _runs(mask: DataFrame) -> DataFrame:
     return out
 
 
+def _envelope(f: np.ndarray) -> np.ndarray:
+    """Least of f[k] + (i - k)^2 over k, at every i, by the lower envelope of the parabolas: linear in their number."""
+    known = np.flatnonzero(np.isfinite(f)).tolist()
+    if not known:
+        return np.full(len(f), np.inf)
+    height = {k: f[k] + k * k for k in known}
+    hull, starts = [known[0]], [-np.inf]
+    for k in known[1:]:
+        while True:  # from here on k lies below the last one of the envelope
+            start = (height[k] - height[hull[-1]]) / (2 * (k - hull[-1]))
+            if start > starts[-1]:
+                break
+            hull.pop()
+            starts.pop()
+        hull.append(k)
+        starts.append(start)
+    at = np.arange(len(f))
+    best = np.array(hull)[np.searchsorted(starts, at, side="right") - 1]
+    return f[best] + (at - best) ** 2
+
+
 def distance_transform(grid: DataFrame, border: bool = False) -> DataFrame:
     """Exact distance from every pixel to the nearest one below 0.5 (or, with border, to outside): row, col, d.
 
@@ -198,13 +219,7 @@ def distance_transform(grid: DataFrame, border: bool = False) -> DataFrame:
             f = pdf["d2"].to_numpy() if squared else np.where(pdf["v"].to_numpy() < 0.5, 0.0, np.inf)
             if border:
                 f = np.concatenate([[0.0], f, [0.0]])
-            at = np.arange(len(f))
-            known = np.flatnonzero(np.isfinite(f))
-            if len(known):
-                step = max(1, (1 << 22) // len(known))
-                d2 = np.concatenate([((at[i : i + step, None] - known[None]) ** 2 + f[known][None]).min(1) for i in range(0, len(f), step)])
-            else:
-                d2 = np.full(len(f), np.inf)
+            d2 = _envelope(f)
             d2 = d2[1 : n + 1] if border else d2
             return pd.DataFrame({"row": pdf["row"].to_numpy(), "col": pdf["col"].to_numpy(), "d2": d2})
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.checkpoints import saved
+from quadrille.operators.lattice import exclusive_scan
+
 NAN = float("nan")
 
 
@@ -52,42 +57,96 @@ def benjamini_hochberg(tests: DataFrame, id_cols: list[str], p: str = "p") -> Da
     return ranked.unionByName(tests.where(F.col(p).isNull() | F.isnan(p)).withColumn("q", F.lit(NAN)))
 
 
-def quadrat_null(counts: DataFrame, by: str, over: str, value: str, types: int, simulations: int, seed: int = 0) -> DataFrame:
-    """Label-permutation null of the quadrat correlations: type_a, type_b, r, ses, p, q.
+def _correlated(x: np.ndarray) -> np.ndarray:
+    z = x - x.mean(1, keepdims=True)
+    s = np.sqrt((z * z).sum(1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (z @ z.T) / s[:, None] / s[None]
 
-    The table of quadrat totals (quadrats are bounded by the window and their size) is sent to the simulations, which
-    run as rows of a range in parallel: each deals the labels anew over the cells of the quadrats."""
+
+def dealt_table(totals: np.ndarray, per_type: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A table of types by quadrats as random labels of the cells give it: one hypergeometric draw for each quadrat."""
+    left, out = per_type.copy(), np.zeros((len(per_type), len(totals)), np.int64)
+    for q in np.flatnonzero(totals):
+        out[:, q] = rng.multivariate_hypergeometric(left, int(totals[q]), method="marginals")
+        left -= out[:, q]
+    return out
+
+
+def swap(table: list[list[int]], rng: random.Random) -> bool:
+    """One try to move counts around a rectangle of two rows and two columns, in place; row and column sums stay.
+
+    Counts go off the main diagonal if both of its ends have some, else off the other one; from 1 to all that the smaller
+    end holds. False if neither can give."""
+    if len(table) < 2 or len(table[0]) < 2:
+        return False
+    (i, j), (c, d) = rng.sample(range(len(table)), 2), rng.sample(range(len(table[0])), 2)
+    upper, lower = table[i], table[j]
+    for most, sign in ((min(upper[c], lower[d]), -1), (min(upper[d], lower[c]), 1)):
+        if most:
+            n = sign * rng.randint(1, most)
+            upper[c], lower[d] = upper[c] + n, lower[d] + n
+            upper[d], lower[c] = upper[d] - n, lower[c] - n
+            return True
+    return False
+
+
+def swap_chain(table: list[list[int]], moves: int, rng: random.Random) -> int:
+    """Swaps until so many have moved something (or 200 tries for each have been made); how many did."""
+    done = 0
+    for _ in range(200 * moves + 1000):
+        if done >= moves:
+            break
+        done += swap(table, rng)
+    return done
+
+
+def quadrat_null(counts: DataFrame, by: str, over: str, value: str, types: int, simulations: int, seed: int = 0, null: str = "label", burn_in: int = 10_000, between: int = 500, chains: int = 8) -> DataFrame:
+    """Correlations of types over quadrats against a null: type_a, type_b, r, ses, p, q, and pc, pc_ses, pc_p, pc_q of the
+    partial correlations.
+
+    The table of quadrat counts (bounded by the window, the quadrats' size and the types) is sent to the simulations,
+    which are rows of a range. "label" deals the labels anew over the cells; "swap" walks through the tables with the
+    same margins, in ``chains`` chains that start from the observed one and forget it during ``burn_in`` moves."""
+    if null not in ("label", "swap"):
+        raise ValueError("null is label or swap")
     pdf = counts.orderBy(by, over).toPandas()
     m = pdf.pivot(index=by, columns=over, values=value).reindex(range(types), fill_value=0).to_numpy(np.int64)
     totals, per_type = m.sum(0), m.sum(1)
-    quadrat = np.repeat(np.arange(len(totals)), totals)
 
-    def correlate(x: np.ndarray) -> np.ndarray:
-        z = x - x.mean(1, keepdims=True)
-        s = np.sqrt((z * z).sum(1))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return (z @ z.T) / s[:, None] / s[None]
+    def rows_of(i: int, x: np.ndarray) -> list[tuple]:
+        r = _correlated(x)
+        pc = partial_correlation(r)
+        return [(int(i), a, c, r[a, c], pc[a, c]) for a in range(types) for c in range(types)]
 
     def simulate(batches):
         for b in batches:
             out = []
             for i in b["id"]:
-                rng = np.random.Generator(np.random.PCG64([seed, int(i)]))
-                label = np.repeat(np.arange(types), per_type)[rng.permutation(len(quadrat))]
-                x = np.bincount(label * len(totals) + quadrat, minlength=types * len(totals)).reshape(types, -1)
-                r = correlate(x)
-                out += [(int(i), a, c, r[a, c]) for a in range(types) for c in range(types)]
-            yield pd.DataFrame(out, columns=["sim", "type_a", "type_b", "r"])
+                if null == "label":
+                    out += rows_of(i, dealt_table(totals, per_type, np.random.Generator(np.random.PCG64([seed, int(i)]))))
+                else:  # one chain: its draws follow each other
+                    rng, table = random.Random(f"{seed} {i}"), m.tolist()
+                    for n, draw in enumerate(range(int(i), simulations, chains)):
+                        swap_chain(table, between if n else burn_in, rng)
+                        out += rows_of(draw, np.array(table))
+            yield pd.DataFrame(out, columns=["sim", "type_a", "type_b", "r", "pc"])
 
     spark = counts.sparkSession
-    draws = spark.range(0, simulations, 1, min(simulations, 64)).mapInPandas(simulate, "sim long, type_a int, type_b int, r double")
-    own = correlate(m)
-    observed = spark.createDataFrame([(a, c, float(own[a, c])) for a in range(types) for c in range(types)], "type_a int, type_b int, r0 double")
-    both = draws.join(F.broadcast(observed), ["type_a", "type_b"]).where(~F.isnan("r"))
-    sums = both.groupBy("type_a", "type_b", "r0").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.count_if(F.abs("r") >= F.abs("r0")).alias("as_far"))
-    tests = sums.select("type_a", "type_b", F.col("r0").alias("r"), share(F.col("r0") - F.col("mean"), F.col("sd")).alias("ses"), ((F.col("as_far") + 1) / (simulations + 1.0)).alias("p"))
-    upper = benjamini_hochberg(tests.where("type_a < type_b"), ["type_a", "type_b"])
-    return tests.join(upper.select("type_a", "type_b", "q"), ["type_a", "type_b"], "left")
+    units = simulations if null == "label" else min(chains, simulations)
+    draws = spark.range(0, units, 1, min(units, 64)).mapInPandas(simulate, "sim long, type_a int, type_b int, r double, pc double")
+    own = _correlated(m)
+    part = partial_correlation(own)
+    observed = spark.createDataFrame([(a, c, float(own[a, c]), float(part[a, c])) for a in range(types) for c in range(types)], "type_a int, type_b int, r0 double, pc0 double")
+    both = saved(draws).join(F.broadcast(observed), ["type_a", "type_b"])
+    out = None
+    for x, prefix in (("r", ""), ("pc", "pc_")):
+        sums = both.where(~F.isnan(x)).groupBy("type_a", "type_b", f"{x}0").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.count_if(F.abs(x) >= F.abs(f"{x}0")).alias("as_far"))
+        tests = sums.select("type_a", "type_b", F.col(f"{x}0").alias(x), share(F.col(f"{x}0") - F.col("mean"), F.col("sd")).alias(f"{prefix}ses"), ((F.col("as_far") + 1) / (simulations + 1.0)).alias(f"{prefix}p"))
+        upper = benjamini_hochberg(tests.where("type_a < type_b"), ["type_a", "type_b"], f"{prefix}p").withColumnRenamed("q", f"{prefix}q")
+        tests = tests.join(upper.select("type_a", "type_b", f"{prefix}q"), ["type_a", "type_b"], "left")
+        out = tests if out is None else out.join(tests, ["type_a", "type_b"], "left")
+    return out
 
 
 def rank_envelope(curves: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -114,31 +173,34 @@ def rank_envelope(curves: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def auc(scored: DataFrame, value: str, positive: str) -> DataFrame:
-    """Mann-Whitney area with mid-ranks, 0.5 if a class is empty: auc. Equal values are pooled first, then ranked by running totals."""
+    """Mann-Whitney area with mid-ranks, 0.5 if a class is empty: auc. Equal values are pooled first, then ranked by running
+    totals over ranges of values, so no window runs over all of them."""
     pooled = scored.groupBy(value).agg(F.count_if(positive).alias("np"), F.count_if(~F.col(positive)).alias("nn"))
-    below = Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    runs = pooled.withColumn("before", F.coalesce(F.sum("nn").over(below), F.lit(0)))
-    s = runs.agg(F.sum(F.col("np") * (F.col("before") + F.col("nn") / 2.0)).alias("u"), F.sum("np").alias("p"), F.sum("nn").alias("n"))
+    runs = exclusive_scan(saved(pooled), value, "nn")
+    s = runs.agg(F.sum(F.col("np") * (F.col("scan") + F.col("nn") / 2.0)).alias("u"), F.sum("np").alias("p"), F.sum("nn").alias("n"))
     return s.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).otherwise(0.5).alias("auc"))
 
 
-def block_bootstrap(contributions: DataFrame, block: Column, resamples: int, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Bootstrap interval by blocks for per-anchor contributions (bin, v): bin, mean, lo, hi.
-
-    Blocks are summed first; a resample draws Poisson weights for blocks, so no resample is collected."""
-    sums = contributions.withColumn("_block", block).groupBy("_block", "bin").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
-    draws = contributions.sparkSession.range(resamples).withColumnRenamed("id", "sim")
-    # a hash of (sim, block) gives a uniform number; Poisson(1) by its distribution function
-    u = (F.pmod(F.xxhash64("sim", "_block", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    steps, total, term = [], 0.0, np.exp(-1.0)
-    for k in range(8):
-        total += term
-        steps.append((total, k))
-        term /= k + 1
-    weight = F.lit(8)
-    for limit, k in reversed(steps):
-        weight = F.when(F.col("_u") < limit, k).otherwise(weight)
-    spread = sums.crossJoin(F.broadcast(draws)).withColumn("_u", u).withColumn("_w", weight)
-    means = spread.groupBy("sim", "bin").agg((F.sum(F.col("_w") * F.col("v")) / F.greatest(F.lit(1e-300), F.sum(F.col("_w") * F.col("n")).cast("double"))).alias("m"))
-    got = means.groupBy("bin").agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(alpha / 2)).alias("ql"), F.percentile("m", F.lit(1 - alpha / 2)).alias("qh"))
-    return got.select("bin", "mean", (2 * F.col("mean") - F.col("qh")).alias("lo"), (2 * F.col("mean") - F.col("ql")).alias("hi"))
+def block_bootstrap(contributions: DataFrame, tile: Column, tiles: int, bins: int, resamples: int, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """Bootstrap interval by tiles for per-anchor contributions (bin, v; one row for each anchor and bin): bin, g, mean, lo, hi.
+
+    A resample draws as many of the ``tiles`` as there are, empty ones included, and divides the drawn contributions by
+    the drawn anchors; without anchors it is g, the mean of all. The interval is reflected about the mean of resamples."""
+    held = contributions.withColumn("_tile", tile.cast("long"))
+    sums = held.groupBy("_tile", "bin").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    g = held.groupBy("bin").agg(F.avg("v").alias("g"))
+    spark = contributions.sparkSession
+    draws = spark.range(resamples).withColumnRenamed("id", "sim").crossJoin(spark.range(tiles).withColumnRenamed("id", "draw"))
+    times = draws.withColumn("_tile", F.pmod(F.xxhash64("sim", "draw", F.lit(seed)), F.lit(tiles))).groupBy("sim", "_tile").agg(F.count("*").alias("k"))
+    drawn = times.join(sums, "_tile").groupBy("sim", "bin").agg((F.sum(F.col("k") * F.col("v")) / F.sum(F.col("k") * F.col("n"))).alias("m"))
+    frame = spark.range(resamples).withColumnRenamed("id", "sim").crossJoin(F.broadcast(spark.range(bins).select(F.col("id").cast("int").alias("bin"))))
+    full = frame.join(drawn, ["sim", "bin"], "left").join(F.broadcast(g), "bin").withColumn("m", F.coalesce("m", "g"))
+    low, high = int(alpha / 2 * (resamples - 1)), -int(-(1 - alpha / 2) * (resamples - 1) // 1)
+    got = full.groupBy("bin", "g").agg(F.avg("m").alias("mean"), F.sort_array(F.collect_list("m")).alias("ms"))  # ``resamples`` numbers each
+    return got.select("bin", "g", "mean", (2 * F.col("mean") - F.get("ms", F.lit(high))).alias("lo"), (2 * F.col("mean") - F.get("ms", F.lit(low))).alias("hi"))
+
+
+def excursions(envelope: DataFrame) -> DataFrame:
+    """Where an envelope's observed curve leaves its band: r, observed, bound, above."""
+    above = F.col("observed") > F.col("hi")
+    return envelope.where("exits").select("r", "observed", F.when(above, F.col("hi")).otherwise(F.col("lo")).alias("bound"), above.alias("above"))

@@ -7,12 +7,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.geometry import annulus_areas
+from quadrille.functions.geometry import annulus_areas, disk_polygon_area, in_polygon, oriented, ring_area
 from quadrille.operators.lattice import Box, spine
 from quadrille.operators.range_join import self_pairs, within_radius
 
 
-def _bin(r_max: float, bins: int):
+def ring_of(r_max: float, bins: int):
+    """The ring of a pair by its d2."""
     return F.least(F.lit(bins - 1), F.floor(F.sqrt("d2") / (r_max / bins))).cast("int")
 
 
@@ -21,8 +22,13 @@ def _rings(r_max: float, bins: int) -> list[float]:
     return [math.pi * (((k + 1) * d) ** 2 - (k * d) ** 2) for k in range(bins)]
 
 
-def _weighted(points: DataFrame, r_max: float, bins: int, box: Box, edge_corrected: bool) -> DataFrame:
-    """Points with inv, one over the area of each ring about them (0 where there is none)."""
+def weighted(points: DataFrame, r_max: float, bins: int, box: Box, edge_corrected: bool, domain: list | None = None) -> DataFrame:
+    """Points with inv, one over the area of each ring about them (0 where there is none), within the polygon ``domain`` if there is one."""
+    if domain is not None:
+        within = [disk_polygon_area(F.col("x"), F.col("y"), F.lit((k + 1) * r_max / bins), domain) for k in range(bins)]
+        held = points.withColumn("_a", F.array(*within))
+        ring = F.transform("_a", lambda a, k: a - F.when(k > 0, F.get("_a", k - 1)).otherwise(0.0))
+        return held.withColumn("inv", F.transform(ring, lambda a: F.when(a > 1e-9, 1.0 / a).otherwise(0.0))).drop("_a")
     if not edge_corrected:
         return points.withColumn("inv", F.array(*[F.lit(1.0 / a) for a in _rings(r_max, bins)]))
     far = F.col("x").between(box[0] + r_max, box[2] - r_max) & F.col("y").between(box[1] + r_max, box[3] - r_max)
@@ -31,12 +37,17 @@ def _weighted(points: DataFrame, r_max: float, bins: int, box: Box, edge_correct
     return points.withColumn("inv", F.when(far, whole).otherwise(F.transform(areas, lambda a: F.when(a > 1e-9, 1.0 / a).otherwise(0.0))))
 
 
-def cross_pcf(a: DataFrame, b: DataFrame, box: Box, r_max: float, bins: int, edge_corrected: bool = False) -> DataFrame:
-    """Per ring: bin, r (middle), n_pairs, g. Two clouds; the same cloud twice counts its self pairs."""
+def cross_pcf(a: DataFrame, b: DataFrame, box: Box, r_max: float, bins: int, edge_corrected: bool = False, domain: list | None = None) -> DataFrame:
+    """Per ring: bin, r (middle), n_pairs, g. Two clouds; the same cloud twice counts its self pairs.
+
+    ``domain``: rings of a polygon instead of the box; points outside it are left out, and rings are cut by it."""
     area = (box[2] - box[0]) * (box[3] - box[1])
+    if domain is not None:
+        area = sum(ring_area(r) for r in oriented(domain))
+        a, b = (c.where(in_polygon(F.col("x"), F.col("y"), domain)) for c in (a, b))
     sizes = a.agg(F.count("*").alias("na")).crossJoin(b.agg(F.count("*").alias("nb")))
-    pairs = within_radius(_weighted(a.select("x", "y"), r_max, bins, box, edge_corrected), b.select("x", "y"), r_max)
-    pairs = pairs.withColumn("bin", _bin(r_max, bins))
+    pairs = within_radius(weighted(a.select("x", "y"), r_max, bins, box, edge_corrected, domain), b.select("x", "y"), r_max)
+    pairs = pairs.withColumn("bin", ring_of(r_max, bins))
     sums = pairs.groupBy("bin").agg(F.count("*").alias("n_pairs"), F.sum(F.get("a_inv", F.col("bin"))).alias("s"))
     full = spine(a, bin=bins).join(sums, "bin", "left").fillna(0, ["n_pairs", "s"]).crossJoin(F.broadcast(sizes))
     rate = F.col("na") * F.col("nb") / area
@@ -48,14 +59,14 @@ def bin_membership(a: DataFrame, b: DataFrame, r_max: float, bins: int, id_col:
     if bins > 32:
         raise ValueError("a mask holds 32 rings at most")
     pairs = within_radius(a.select(id_col, "x", "y"), b.select("x", "y"), r_max)
-    return pairs.groupBy(F.col(f"a_{id_col}").alias(id_col)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bin(r_max, bins))).alias("bits"))
+    return pairs.groupBy(F.col(f"a_{id_col}").alias(id_col)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), ring_of(r_max, bins))).alias("bits"))
 
 
 def pcf_matrix_binned(cells: DataFrame, box: Box, r_max: float, bins: int, types: int, edge_corrected: bool = False) -> DataFrame:
     """For all ordered pairs of types and rings: n_pairs and g, without self pairs."""
     area = (box[2] - box[0]) * (box[3] - box[1])
-    held = _weighted(cells.select("cell_id", "type_id", "x", "y"), r_max, bins, box, edge_corrected) if edge_corrected else cells.select("cell_id", "type_id", "x", "y")
-    pairs = self_pairs(held, r_max, "cell_id").withColumn("bin", _bin(r_max, bins))
+    held = weighted(cells.select("cell_id", "type_id", "x", "y"), r_max, bins, box, edge_corrected) if edge_corrected else cells.select("cell_id", "type_id", "x", "y")
+    pairs = self_pairs(held, r_max, "cell_id").withColumn("bin", ring_of(r_max, bins))
     inv = (lambda p: F.get(f"{p}_inv", F.col("bin"))) if edge_corrected else (lambda p: F.lit(0.0))
     one = pairs.select(F.col("a_type_id").alias("type_a"), F.col("b_type_id").alias("type_b"), "bin", inv("a").alias("i"), inv("b").alias("j"))
     sums = one.groupBy("type_a", "type_b", "bin").agg(F.count("*").alias("n"), F.sum("i").alias("i"), F.sum("j").alias("j"))

@@ -84,10 +84,11 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, start: float, query
     """The k nearest points of each query: query_id, rank (1..k), point_id as neighbour, d. Ties go to the lower id.
 
     A radius search for all queries; those with fewer than k points inside go on with twice the radius. After a few
-    rounds only outliers are left. Queries with fewer than k points in all keep what there is."""
+    rounds only outliers are left. Queries with fewer than k points in all keep what there is; a query without
+    coordinates has no neighbours. Raises RuntimeError if ``most_rounds`` are not enough."""
     total = points.count() - (1 if exclude_self else 0)
     wanted = min(k, total)
-    found, radius, left = None, start, queries.select(F.col(query_id).alias("q"), *coords)
+    found, radius, left = None, start, queries.select(F.col(query_id).alias("q"), *coords).dropna(subset=list(coords))
     target = points.select(F.col(point_id).alias("p"), *coords)
     for _ in range(most_rounds):
         pairs = within_radius(left, target, radius, coords, closed=True)
@@ -101,4 +102,6 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, start: float, query
         if wanted <= 0 or not left.limit(1).count():
             break
         radius *= 2
+    else:
+        raise RuntimeError(f"queries without {wanted} neighbours within {radius}: start from a larger radius")
     return found.select(F.col("a_q").alias(query_id), F.col("rank"), F.col("b_p").alias("neighbour"), F.sqrt("d2").alias("d"))

@@ -212,35 +212,58 @@ def lloyd(samples: DataFrame, centroids: list[list[float]], rounds: int, weight:
     return centroids
 
 
-def emeans(samples: DataFrame, k: int, epochs: int = 5, seed: int = 0) -> tuple[DataFrame, list[list[float]]]:
-    """Centroids drawn towards batches: within each epoch every partition moves its own copy with a falling rate, and
-    copies are averaged by the weight they have seen; the last epoch takes exact means. A cluster without rows is
-    put where the heaviest one spreads. (labels, centroids)."""
-    start = samples.select("v").where(F.col("v").isNotNull()).orderBy(F.xxhash64("id", F.lit(seed))).limit(k).collect()
-    c = np.array([r["v"] for r in start])
-    dim = c.shape[1]
-    for epoch in range(max(1, epochs - 1)):
-        now, rate = c.copy(), 0.5 * 0.5**epoch
-
-        def moved(batches, now=now, rate=rate):
-            own, seen = now.copy(), np.zeros(len(now))
-            for b in batches:
-                x = np.stack(b["v"].to_numpy())
-                near = ((x[:, None] - own[None]) ** 2).sum(2).argmin(1)
-                n = np.bincount(near, minlength=len(own))
-                s = np.zeros_like(own)
-                np.add.at(s, near, x)
-                full = n > 0
-                own[full] += rate * (s[full] / n[full, None] - own[full])
-                seen += n
-            yield pd.DataFrame({"label": range(len(own)), "n": seen, "c": list(own)})
-
-        parts = samples.select("v").mapInPandas(moved, "label int, n double, c array<double>")
-        got = parts.groupBy("label").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.get("c", F.lit(i))).alias(f"s{i}") for i in range(dim)]).toPandas().sort_values("label")
-        n, s = got["n"].to_numpy(), got[[f"s{i}" for i in range(dim)]].to_numpy()
-        c = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c)
-        for dead in np.flatnonzero(n == 0):
-            c[dead] = c[n.argmax()] * (1 + 1e-3) + 1e-6
+SAMPLE = 1 << 16
+
+
+def batch_size(k: int, n: int, epochs: int) -> int:
+    """Rows of a mini-batch for k clusters of n rows: a power of two, at most half the rows."""
+    wanted = round(np.log2(0.00439 * k**0.135 * n**0.876 * epochs**0.813)) if n > 1 else 0
+    return 2 ** max(0, min(int(np.log2(max(2, n) / 2)), wanted))
+
+
+def moving_means(x: np.ndarray, k: int, epochs: int = 5, seed: int = 0, spread: bool = False) -> np.ndarray:
+    """Centroids of the rows of x by mini-batches: every batch draws the centroids towards the means of their rows, with a
+    rate that falls to zero over all batches. A cluster that an epoch leaves empty splits the heaviest one. ``spread``:
+    the first centroids are drawn apart, by squared distance from those before."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    c = x[rng.permutation(len(x))[:k]].copy()
+    if spread:
+        c = x[[rng.integers(len(x))]]
+        while len(c) < min(k, len(x)):
+            far = ((x[:, None] - c[None]) ** 2).sum(2).min(1)
+            c = np.concatenate([c, x[[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]]])
+    size = batch_size(k, len(x), epochs)
+    steps, step = max(1, (epochs - 1) * -(-len(x) // size)), 0
+    for _ in range(max(1, epochs - 1)):
+        order, seen = rng.permutation(len(x)), np.zeros(len(c))
+        for at in range(0, len(x), size):
+            part = x[order[at : at + size]]
+            near = ((part[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            n = np.bincount(near, minlength=len(c))
+            sums = np.zeros_like(c)
+            np.add.at(sums, near, part)
+            full = n > 0
+            c[full] += 0.5 * (1 - step / steps) * (sums[full] / n[full, None] - c[full])
+            seen += n
+            step += 1
+        for dead in np.flatnonzero(seen == 0):
+            big = int(seen.argmax())
+            c[dead] = c[big] + 1e-3 * (x.std(0) + 1e-12)
+            seen[big] = seen[dead] = seen[big] / 2
+    return c
+
+
+def emeans(samples: DataFrame, k: int, epochs: int = 5, seed: int = 0, sample: int = SAMPLE) -> tuple[DataFrame, list[list[float]]]:
+    """(labels, centroids): mini-batches on the driver over at most about ``sample`` rows (those of the least hashes, so the
+    result doesn't follow the partitioning), then exact means and labels of all rows."""
+    known = samples.where(F.col("v").isNotNull())
+    n = known.count()
+    if not n:
+        raise ValueError("no rows to cluster")
+    if n > sample:
+        known = known.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    rows = known.select("id", "v").orderBy("id").toPandas()
+    c = moving_means(np.stack(rows["v"].to_numpy()).astype(float), min(k, len(rows)), epochs, seed)
     c = np.array(lloyd(samples, c.tolist(), 1))
     return assign(samples, c.tolist()), c.tolist()
 
@@ -287,21 +310,81 @@ def fuzzy_set(edges: DataFrame, mix: float = 1.0) -> DataFrame:
 
 
 def trustworthiness(high: DataFrame, low: DataFrame, k: int) -> DataFrame:
-    """1 - 2 / (n k (2n - 3k - 1)) * sum of how far the k nearest in ``low`` (i, j, rank) rank beyond k in ``high``."""
-    n = high.select("i").distinct().count()
+    """1 - 2 / (n k (2n - 3k - 1)) * sum of how far the k nearest in ``low`` (i, j, rank) rank beyond k in ``high`` (i, j,
+    rank of those pairs)."""
+    n = low.select("i").distinct().count()
     near = low.where(F.col("rank") <= k).select("i", "j")
     far = near.join(high.select("i", "j", "rank"), ["i", "j"]).where(F.col("rank") > k)
     return far.agg((1 - F.coalesce(F.sum(F.col("rank") - k), F.lit(0)) * (2.0 / (n * k * (2 * n - 3 * k - 1)))).alias("trustworthiness"))
 
 
-def ranks(vectors: DataFrame) -> DataFrame:
-    """All other vectors of each by distance: i, j, rank. Size n^2: for small tables."""
-    n = vectors.count()
-    return knn(vectors, max(1, n - 1)).select("i", "j", "rank")
-
+def ranks_of(vectors: DataFrame, pairs: DataFrame, block_rows: int = 4096) -> DataFrame:
+    """Ranks by distance of given pairs among all other vectors of i: i, j, rank. Of each row only its pairs' distances are
+    held, and rows that lie nearer are counted block by block."""
+    to = vectors.select(F.col("id").alias("j"), F.col("v").alias("u"))
+    asked = pairs.select("i", "j").join(vectors.select(F.col("id").alias("i"), "v"), "i").join(to, "j")
+    gap = F.zip_with("v", "u", lambda a, b: a - b)
+    own = asked.withColumn("_g", gap).groupBy("i").agg(F.first("v").alias("v"), F.sort_array(F.collect_list(F.struct(dot(F.col("_g"), F.col("_g")).alias("d2"), "j"))).alias("near"))
+    own = saved(own)
+    n, m = vectors.count(), own.count()
+    nb, nq = (max(1, -(-x // block_rows)) for x in (n, m))
+    held = vectors.select("id", "v", _block_of(nb).alias("pb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    lists = own.select("i", "v", F.col("near.d2").alias("ds"), F.col("near.j").alias("js"), F.pmod(F.xxhash64("i"), F.lit(nq)).cast("int").alias("qb")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
 
-def layout(edges: DataFrame, epochs: int = 200, a: float = 1.577, b: float = 0.895, dims: int = 2, seed: int = 42) -> DataFrame:
-    """Stochastic layout of a fuzzy graph: id, y. One task, as its steps follow one another; bounded by the graph's size."""
+    def counted(q: pa.Table, p: pa.Table) -> pa.Table:
+        schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("n", pa.int64())])
+        if not q.num_rows or not p.num_rows:
+            return schema.empty_table()
+        ids, x = p.column("id").to_numpy(), np.stack([np.asarray(r, float) for r in p.column("v").to_pylist()])
+        out: list[tuple[int, int, int]] = []
+        for i, v, ds, js in zip(*(q.column(c).to_pylist() for c in ("i", "v", "ds", "js")), strict=True):
+            d = ((x - np.asarray(v, float)) ** 2).sum(1)
+            other = ids != i
+            out += [(i, j, int((other & ((d < e - 1e-12) | ((np.abs(d - e) <= 1e-12) & (ids < j)))).sum())) for e, j in zip(ds, js, strict=True)]
+        return pa.table([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], schema=schema)
+
+    parts = lists.groupBy("qb", "pb").cogroup(held.groupBy("qb", "pb")).applyInArrow(counted, "i long, j long, n long")
+    return parts.groupBy("i", "j").agg((F.sum("n") + 1).alias("rank"))
+
+
+#: Samples of the target curve and the most steps of the fit.
+CURVE_SAMPLES, CURVE_STEPS = 300, 100
+
+
+def fit_curve(min_dist: float = 0.1, spread: float = 1.0) -> tuple[float, float]:
+    """(a, b) of 1 / (1 + a x^2b) nearest to 1 up to min_dist and exp(-(x - min_dist) / spread) beyond, over [0, 3 spread].
+
+    Damped least squares: steps that don't lower the error are taken again with more damping."""
+    x = np.linspace(0, 3 * spread, CURVE_SAMPLES)[1:]
+    y = np.where(x <= min_dist, 1.0, np.exp(-(x - min_dist) / spread))
+    at, damping = np.array([1.0, 1.0]), 1e-3
+    curve = lambda p: 1 / (1 + p[0] * x ** (2 * p[1]))
+    error = lambda p: ((curve(p) - y) ** 2).sum()
+    for _ in range(CURVE_STEPS):
+        f = curve(at)
+        power = x ** (2 * at[1])
+        slope = np.stack([-power, -2 * at[0] * power * np.log(x)], 1) * (f * f)[:, None]
+        gram = slope.T @ slope
+        move = -np.linalg.solve(gram + damping * np.diag(np.diag(gram)), slope.T @ (f - y))
+        if (at + move > 0).all() and error(at + move) < error(at):
+            at, damping = at + move, max(damping * 0.3, 1e-12)
+            if np.abs(move).sum() < 1e-12:
+                break
+        else:
+            damping *= 10
+            if damping > 1e10:
+                break
+    return float(at[0]), float(at[1])
+
+
+def layout(edges: DataFrame, epochs: int = 200, a: float | None = None, b: float | None = None, dims: int = 2, seed: int = 42, start: DataFrame | None = None, first: int = 0) -> DataFrame:
+    """Stochastic layout of a fuzzy graph: id, y. One task, as its steps follow one another; bounded by the graph's size.
+
+    ``start``: (id, y) to begin with, scaled to +-10 if it is wider; else uniform in +-10. ``first``: the epoch to begin
+    with, so that a finished layout can be warmed up again from a late one."""
+    if a is None or b is None:
+        a, b = fit_curve()
+    known = {} if start is None else {r["id"]: r["y"] for r in start.collect()}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["i", "j"])
@@ -310,8 +393,13 @@ def layout(edges: DataFrame, epochs: int = 200, a: float = 1.577, b: float = 0.8
         head, tail = place[: len(pdf)], place[len(pdf) :]
         w = pdf["w"].to_numpy()
         y = rng.uniform(-10, 10, (len(ids), dims))
+        for n, i in enumerate(ids.tolist()):
+            if i in known:
+                y[n] = known[i]
+        y *= min(1.0, 10 / max(1e-12, np.abs(y).max()))
         period, due = w.max() / np.maximum(w, 1e-12), w.max() / np.maximum(w, 1e-12)
-        for epoch in range(epochs):
+        due += first
+        for epoch in range(first, epochs):
             alpha = 1 - epoch / epochs
             now = np.flatnonzero(due <= epoch + 1)
             due[now] += period[now]

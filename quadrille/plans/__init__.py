@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables and their DuckDB SQL."""
 
-from quadrille.plans import motion, rasters, spatial, statistics, tables  # noqa: F401
+from quadrille.plans import extras, motion, rasters, spatial, statistics, tables  # noqa: F401
 from quadrille.plans.registry import entries
 
 

@@ -91,6 +91,29 @@ _OX, _OY, _OZ = f"({_NY}*pz - {_NZ}*py)", f"({_NZ}*px - {_NX}*pz)", f"({_NX}*py
 _ON = f"sqrt({_OX}*{_OX} + {_OY}*{_OY} + {_OZ}*{_OZ})"
 _force("orbit", lambda: forces.orbit(1.0), f"0.05 * {_OX} / {_ON} as fx, 0.05 * {_OY} / {_ON} as fy, 0.05 * {_OZ} / {_ON} as fz")
 
+_FLAT = "sqrt(px*px + pz*pz)"
+_K = f"(((2.5 - {_FLAT}) * (2.5 - {_FLAT}) + py*py) / ((2.5 + {_FLAT}) * (2.5 + {_FLAT}) + py*py))"
+_SOLENOID = f"so as (select id, -py * px / {_FLAT} as gx, {_FLAT} - 2.5 * (1 + {_K}) / (1 - {_K} + 1e-6) as gy, -py * pz / {_FLAT} as gz from b)"
+
+
+@query("force_solenoid", f"{_B}, {_SOLENOID} select id, 0.045 * gx / sqrt(gx*gx + gy*gy + gz*gz) as fx, 0.045 * gy / sqrt(gx*gx + gy*gy + gz*gz) as fy, 0.045 * gz / sqrt(gx*gx + gy*gy + gz*gz) as fz from so", "fx fy fz")
+def force_solenoid(spark, sf):
+    """Along the field of a coil."""
+    return _bodies(spark, sf).select("id", *[c.alias(k) for c, k in zip(forces.solenoid(1.0), ("fx", "fy", "fz"), strict=True)])
+
+
+@query("force_caller", f"{_B}, n as (select count(*) as n from b), s as (select a.id, a.vx, a.vy, a.vz, (a.px - c.px) / 2 as rx, (a.pz - c.pz) / 2 as rz from b a, n join b c on c.id = (a.id + 1 + 3 % (n.n - 1)) % n.n) select id, 0.08 * (0.6 * rz / sqrt(rx*rx + rz*rz) - vx) as fx, -0.08 * vy as fy, 0.08 * (-0.6 * rx / sqrt(rx*rx + rz*rz) - vz) as fz from s", "fx fy fz")
+def force_caller(spark, sf):
+    """Towards the motion of the figure that is called: a swing with the fourth next body."""
+    return forces.called(_bodies(spark, sf), 500.0)
+
+
+@query("body_tap", f"{_B} select id, px, py, pz, vx, vy, vz from b")
+def body_tap(spark, sf):
+    """Positions and velocities of bodies."""
+    return forces.tapped(_bodies(spark, sf))
+
+
 _NEAR = "p as (select a.id, a.px - b.px as gx, a.py - b.py as gy, a.pz - b.pz as gz, sqrt((a.px-b.px)*(a.px-b.px) + (a.py-b.py)*(a.py-b.py) + (a.pz-b.pz)*(a.pz-b.pz)) as d from b a join b on a.id <> b.id where (a.px-b.px)*(a.px-b.px) + (a.py-b.py)*(a.py-b.py) + (a.pz-b.pz)*(a.pz-b.pz) < 1)"
 
 
@@ -110,7 +133,7 @@ def force_spring(spark, sf):
     return forces.gathered(_bodies(spark, sf), 1.0, "spring", 1.0, 0.5)
 
 
-@query("force_cohere", f"{_B}, {_NEAR}, s as (select id, -avg(gx) as x, -avg(gy) as y, -avg(gz) as z from p group by 1) select b.id, coalesce(0.02 * x / sqrt(x*x + y*y + z*z), 0) as fx, coalesce(0.02 * y / sqrt(x*x + y*y + z*z), 0) as fy, coalesce(0.02 * z / sqrt(x*x + y*y + z*z), 0) as fz from b left join s using (id)", "fx fy fz")
+@query("force_cohere", f"{_B}, m as (select a.id, avg(b.px) - any_value(a.px) as x, avg(b.py) - any_value(a.py) as y, avg(b.pz) - any_value(a.pz) as z from b a join b on a.id <> b.id where (a.px-b.px)*(a.px-b.px) + (a.py-b.py)*(a.py-b.py) + (a.pz-b.pz)*(a.pz-b.pz) < 1 group by a.id) select b.id, coalesce(0.012 * x, 0) as fx, coalesce(0.012 * y, 0) as fy, coalesce(0.012 * z, 0) as fz from b left join m using (id)", "fx fy fz")
 def force_cohere(spark, sf):
     """Towards the middle of near bodies."""
     return forces.gathered(_bodies(spark, sf), 1.0, "cohere", 1.0)
@@ -122,12 +145,29 @@ def force_partner_orbit(spark, sf):
     return forces.partner(_bodies(spark, sf), 3, 1.0)
 
 
-@query("integrate_body", f"{_B}, f as (select *, (vx - 0.012 * {_L2} * px) * 0.98 as ux, (vy - 0.012 * {_L2} * py) * 0.98 as uy, (vz - 0.012 * {_L2} * pz) * 0.98 as uz from b), g as (select *, case when sqrt(ux*ux + uy*uy + uz*uz) > 2 then 2 / sqrt(ux*ux + uy*uy + uz*uz) else 1 end as s from f) select id, px + ux * s as px, py + uy * s as py, pz + uz * s as pz, ux * s as vx, uy * s as vy, uz * s as vz from g", "px py pz vx vy vz")
+_RIGID = f"with {v.VECTORS}, b as (select id, v[1] * 10 as px, v[2] * 10 as py, v[3] * 10 as pz, v[4] as vx, v[5] as vy, v[6] as vz, v[7] as ax, v[8] as ay, v[9] as az, v[10] as ox, v[11] as oy, v[12] as oz, v[13] as wx, v[14] as wy, v[15] as wz from vectors)"
+_STEP = f"""f as (select *, -0.012 * {_L2} * px as fx, -0.012 * {_L2} * py as fy, -0.012 * {_L2} * pz as fz from b),
+    g as (select *, sqrt((fx-ax)*(fx-ax) + (fy-ay)*(fy-ay) + (fz-az)*(fz-az)) as far from f),
+    h as (select *, case when far <= 0.05 or far < 1e-9 then 1 else 0.05 / far end as k from g),
+    i as (select * replace (ax + (fx - ax) * k as ax, ay + (fy - ay) * k as ay, az + (fz - az) * k as az) from h),
+    j as (select * replace ((vx + ax * 0.2) * 0.96 as vx, (vy + ay * 0.2) * 0.96 as vy, (vz + az * 0.2) * 0.96 as vz) from i),
+    l as (select *, case when sqrt(vx*vx + vy*vy + vz*vz) > 1.2 then 1.2 / sqrt(vx*vx + vy*vy + vz*vz) else 1 end as c from j),
+    m as (select * replace (vx * c as vx, vy * c as vy, vz * c as vz) from l),
+    n as (select * replace (px + vx * 0.2 as px, py + vy * 0.2 as py, pz + vz * 0.2 as pz) from m),
+    o as (select *, sqrt(px*px + py*py + pz*pz) > 3 as outside, sqrt(px*px + py*py + pz*pz) as r from n),
+    q as (select * replace (case when outside then vx / 2 else vx end as vx, case when outside then vy / 2 else vy end as vy, case when outside then vz / 2 else vz end as vz, case when outside then px * 3 / r else px end as px, case when outside then py * 3 / r else py end as py, case when outside then pz * 3 / r else pz end as pz) from o),
+    s as (select *, sqrt(ox*ox + oy*oy + oz*oz) as t, sqrt(vx*vx + vy*vy + vz*vz) as sp from q),
+    u as (select *, ox / t as nx, oy / t as ny, oz / t as nz, 1 - cos(t) as e from s),
+    w as (select *, ny * sin(t) + nx * nz * e as hx, ny * nz * e - nx * sin(t) as hy, cos(t) + nz * nz * e as hz from u),
+    x as (select * replace ((wx + case when sp > 1e-3 then (hy * vz - hz * vy) / sp * 0.3 else 0 end * 0.2) * 0.9 as wx, (wy + case when sp > 1e-3 then (hz * vx - hx * vz) / sp * 0.3 else 0 end * 0.2) * 0.9 as wy, (wz + case when sp > 1e-3 then (hx * vy - hy * vx) / sp * 0.3 else 0 end * 0.2) * 0.9 as wz) from w)"""
+
+
+@query("integrate_body", f"{_RIGID}, {_STEP} select id, px, py, pz, vx, vy, vz, ax, ay, az, ox + wx * 0.2 as ox, oy + wy * 0.2 as oy, oz + wz * 0.2 as oz, wx, wy, wz from x", "px py pz vx vy vz ax ay az ox oy oz wx wy wz")
 def integrate_body(spark, sf):
-    """One damped step under a force."""
-    b = _bodies(spark, sf)
-    f = forces.constrain(1.0)
-    return forces.integrate(b.withColumns({k: c for k, c in zip(("fx", "fy", "fz"), f, strict=True)}))
+    """One jerk-limited step of rigid bodies under a force."""
+    at = lambda i, k: F.col("v")[i] * k
+    b = v.vectors(spark, sf).select("id", *[at(3 * n + i, 10.0 if k == "p" else 1.0).alias(f"{k}{c}") for n, k in enumerate("pvaow") for i, c in enumerate("xyz")])
+    return forces.integrate(b.withColumns(dict(zip(("fx", "fy", "fz"), forces.constrain(1.0), strict=True))), farthest=3.0)
 
 
 _FREQ = "f as (select c_nationkey as id, avg((c_custkey % 4 = 0)::int)::double as p0, avg((c_custkey % 4 = 1)::int)::double as p1, avg((c_custkey % 4 = 2)::int)::double as p2, avg((c_custkey % 4 = 3)::int)::double as p3 from customer group by 1)"
@@ -147,6 +187,20 @@ def hspf_ld(spark, sf):
     return _genotypes(spark, sf).select("id", r.alias("r"))
 
 
+_FIT = (1.0, 0.8, 0.9, 1.2)
+
+
+@query("hspf_gather", f"with {_FREQ}, b as (select a.id, 1.0 / (1 + abs(a.id - c.id)) as w, c.p0, c.p1, c.p2, c.p3, c.p0 * c.p3 - c.p1 * c.p2 as d from f a join f c on abs(a.id - c.id) <= 2), g as (select id, w * 1.0 * (p0 - 0.3 * 0.5 * d) as g0, w * 0.8 * (p1 + 0.3 * 0.5 * d) as g1, w * 0.9 * (p2 + 0.3 * 0.5 * d) as g2, w * 1.2 * (p3 - 0.3 * 0.5 * d) as g3 from b) select id, sum(g0) / sum(g0 + g1 + g2 + g3) as p0, sum(g1) / sum(g0 + g1 + g2 + g3) as p1, sum(g2) / sum(g0 + g1 + g2 + g3) as p2, sum(g3) / sum(g0 + g1 + g2 + g3) as p3 from g group by 1", "p0 p1 p2 p3")
+def hspf_gather(spark, sf):
+    """Genotype shares of the next generation, gathered from near places: single bites and recombining double bites by fitness."""
+    from quadrille.operators.populations import gathered
+
+    f = _genotypes(spark, sf)
+    far = F.abs(F.col("id") - F.col("source"))
+    bites = f.select("id").crossJoin(F.broadcast(f.withColumnRenamed("id", "source"))).where(far <= 2).withColumn("weight", 1.0 / (1 + far))
+    return gathered(bites, _FIT, 0.3)
+
+
 @query("hspf_recombine", f"with {_FREQ} select id, p0 - 0.5 * (p0 * p3 - p1 * p2) as p0, p1 + 0.5 * (p0 * p3 - p1 * p2) as p1, p2 + 0.5 * (p0 * p3 - p1 * p2) as p2, p3 - 0.5 * (p0 * p3 - p1 * p2) as p3 from f", "p0 p1 p2 p3")
 def hspf_recombine(spark, sf):
     """Haplotype shares of offspring: of each pair of parents half recombine; by a join with the table of offspring."""

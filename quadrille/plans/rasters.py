@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quadrille import views as v
-from quadrille.operators import density, grids, lattice, pcf
+from quadrille.operators import density, grids, lattice, pcf, wand
 from quadrille.operators.range_join import k_nearest
 from quadrille.plans.registry import query
 
@@ -297,6 +297,16 @@ def gram_g(spark, sf):
     return _gram(spark, sf).select("a", "b", "g")
 
 
+_R2N = 9 / (5 * math.pi * _R2 * _R2)
+
+
+@query("null_mean_gram", f"{TG}, {_SPLAT}, al as (select row, col, sum(v) as v from ras group by 1, 2), t as (select sum(v * v) * {_PIXEL!r} as c, (select count(*) from cells)::double as n from al), k as (select type_id, count(*)::double as m from cells group by 1) select x.type_id as a, y.type_id as b, 1e3 * (case when x.type_id = y.type_id then x.m * {_R2N!r} else 0 end + (c - n * {_R2N!r}) * (x.m * y.m - case when x.type_id = y.type_id then x.m else 0 end) / (n * (n - 1))) as expected from k x cross join k y cross join t", "expected", 5)
+def null_mean_gram(spark, sf):
+    """Mean overlap of channels under random labels, in thousandths."""
+    got = density.null_mean_gram(_channels(spark, sf), v.BBOX, 32, 32, _R2, 2)
+    return got.select("a", "b", (F.col("expected") * 1e3).alias("expected"))
+
+
 @query("colocation_modes")
 def colocation_modes(spark, sf):
     """Modes of the channel correlations: mode, explained, and the loading of each channel."""
@@ -317,6 +327,29 @@ def project_mode(spark, sf):
     return z.groupBy("row", "col").agg(F.sum(F.col("z") * F.col("loading")).alias("v"))
 
 
+@query("similarity_field")
+def similarity_field(spark, sf):
+    """Whitened distance of every pixel to the middle one, over three modes."""
+    ras = density.splat_channels(_channels(spark, sf), v.BBOX, 32, 32, _R2, 2)
+    got = gram_corr(spark, sf).toPandas().pivot(index="a", columns="b", values="corr").to_numpy()
+    values, rows = wand.modes(got)
+    z = wand.standardised(ras)
+    return wand.similarity(z, wand.whitening(values, rows, 3), wand.at_pixel(z, 16, 16))
+
+
+@query("wand_patch", f"with recursive {v.typed_grid_sql()}, d as (select t.row, t.col, sqrt(sum((t.v - s.v) * (t.v - s.v))) as v from tgrid t join tgrid s on s.channel = t.channel and s.row = 7 and s.col = 9 group by 1, 2), k as (select row, col from d where v <= 4 or (row = 7 and col = 9)), r as (select 7 as row, 9 as col union select k.row, k.col from r join k on abs(k.row - r.row) + abs(k.col - r.col) = 1), frame as (select r.i::int as row, c.i::int as col from range(-1, 33) r(i) cross join range(-1, 33) c(i)), rim as (select f.row, f.col from frame f left join r on r.row = f.row and r.col = f.col where r.row is null), er as (select r.row, r.col from r where not exists (select 1 from rim where (rim.row - r.row) * (rim.row - r.row) + (rim.col - r.col) * (rim.col - r.col) <= 1)), op as (select f.row, f.col from frame f where exists (select 1 from er where (er.row - f.row) * (er.row - f.row) + (er.col - f.col) * (er.col - f.col) <= 1)), p as (select 7 as row, 9 as col from op where row = 7 and col = 9 union select op.row, op.col from p join op on abs(op.row - p.row) + abs(op.col - p.col) = 1) select r.row, r.col, p.row is not null as patch from r left join p on p.row = r.row and p.col = r.col")
+def wand_patch(spark, sf):
+    """The piece about a pixel whose channels are like its own, and what an opening leaves of it."""
+    return wand.patch(v.typed_grid(spark, sf), 7, 9, tol=4.0, rho=1.0)
+
+
+@query("wand_field", f"{TG}, m as (select channel, avg(v) as mean, stddev_pop(v) as sd from tgrid group by 1), u as (select 0::int as channel, row, col, sum(case when channel < 2 then (v - mean) / sd else 0 end) as v from tgrid join m using (channel) group by row, col union all select 1, row, col, sum(case channel when 2 then 0.5 when 3 then -1.0 else 0 end * (v - mean) / sd) from tgrid join m using (channel) group by row, col), g as (select o.channel, o.row, o.col, (coalesce(e.v, o.v) - coalesce(w.v, o.v)) / ((e.v is not null)::int + (w.v is not null)::int) as gx, (coalesce(s.v, o.v) - coalesce(n.v, o.v)) / ((s.v is not null)::int + (n.v is not null)::int) as gy from u o left join u e on e.channel = o.channel and e.row = o.row and e.col = o.col + 1 left join u w on w.channel = o.channel and w.row = o.row and w.col = o.col - 1 left join u s on s.channel = o.channel and s.row = o.row + 1 and s.col = o.col left join u n on n.channel = o.channel and n.row = o.row - 1 and n.col = o.col), t as (select row, col, 4 * sum(gx * gx) as xx, 4 * sum(gx * gy) as xy, 4 * sum(gy * gy) as yy from g group by 1, 2) select row, col, sqrt(greatest(0, 0.5 * (xx + yy + sqrt((xx - yy) * (xx - yy) + 4 * xy * xy)))) as strength, xx, xy, yy from t", "strength xx xy yy")
+def wand_field(spark, sf):
+    """Boundary strength of mixed, standardised channels per kernel radius."""
+    a = [[1.0, 1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.5, -1.0, 0.0]]
+    return wand.boundary(v.typed_grid(spark, sf), a, per_radius=2.0)
+
+
 @query("standardise", f"{TG}, m as (select channel, avg(v) as mean, stddev_pop(v) as sd from tgrid group by 1) select channel, row, col, case when sd > 0 then (v - mean) / sd else 0 end as z from tgrid join m using (channel)", "z")
 def standardise(spark, sf):
     """Rasters with mean 0 and deviation 1."""

@@ -83,6 +83,45 @@ def cross_pcf_edge_corrected(spark, sf):
     return pcf.cross_pcf(_of(c, 0), _of(c, 1), v.BBOX, 60.0, 6, edge_corrected=True)
 
 
+_INNER = (1296.0, 200.0, 3300.0, 4800.0)
+_WITHIN = "x between 1296 and 3300 and y between 200 and 4800"
+
+
+@query(
+    "cross_pcf_polygon",
+    f"""with {v.CELLS}, {_CROSS.replace("type_id = 0", "type_id = 0 and " + _WITHIN).replace("type_id = 1", "type_id = 1 and " + _WITHIN)}, h as (select least(5, floor(sqrt(d2) / 10))::int as bin, ax, ay from p),
+    i as (select bin, {geo.disk_rect_sql("ax", "ay", "((bin+1)*10.0::double)", _INNER)} - case when bin > 0 then {geo.disk_rect_sql("ax", "ay", "greatest(bin*10.0::double, 1e-300)", _INNER)} else 0 end as area from h),
+    j as (select bin, count(*) as n, sum(case when area > 1e-9 then 1.0 / area else 0 end) as s from i group by 1), k as (select i::int as bin from range(6) r(i))
+    select k.bin, (k.bin + 0.5::double) * 10 as r, coalesce(n, 0)::bigint as n_pairs, coalesce(s, 0) / ((select count(*) from a)::double * (select count(*) from b) / {2004.0 * 4600.0!r}) as g from k left join j on j.bin = k.bin""",
+    "g",
+)
+def cross_pcf_polygon(spark, sf):
+    """Pair correlation of two types within a polygon, given with a vertex amid one of its sides."""
+    c, (x0, y0, x1, y1) = v.cells(spark, sf).where(_WITHIN), _INNER
+    return pcf.cross_pcf(_of(c, 0), _of(c, 1), v.BBOX, 60.0, 6, domain=[[(x0 - 1e-7, y0 - 1e-7), (x1 + 1e-7, y0 - 1e-7), (x1 + 1e-7, 2000.0), (x1 + 1e-7, y1 + 1e-7), (x0 - 1e-7, y1 + 1e-7)]])
+
+
+@query("annulus_polygon", f"with {v.CELLS} select cell_id, {geo.disk_rect_sql('x', 'y', '150.0::double', (1400.0, 800.0, 3000.0, 4000.0))} - {geo.disk_rect_sql('x', 'y', '100.0::double', (1400.0, 800.0, 3000.0, 4000.0))} - {geo.disk_rect_sql('x', 'y', '150.0::double', (2000.0, 2000.0, 2400.0, 2600.0))} + {geo.disk_rect_sql('x', 'y', '100.0::double', (2000.0, 2000.0, 2400.0, 2600.0))} as area from cells", "area", 4)
+def annulus_polygon(spark, sf):
+    """Area of a ring about each cell within a polygon with a hole."""
+    rings = [[(1400.0, 800.0), (3000.0, 800.0), (3000.0, 2500.0), (3000.0, 4000.0), (1400.0, 4000.0)], [(2000.0, 2000.0), (2400.0, 2000.0), (2400.0, 2600.0), (2000.0, 2600.0)]]
+    area = lambda r: geo.disk_polygon_area(F.col("x"), F.col("y"), F.lit(r), rings)
+    return v.cells(spark, sf).select("cell_id", (area(150.0) - area(100.0)).alias("area"))
+
+
+@query(
+    "pcf_matrix_edge_corrected",
+    f"""with {v.CELLS}, {TYPE_SPINE}, {COUNTS}, p as (select a.type_id as ta, b.type_id as tb, a.x as ax, a.y as ay, least(2, floor(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) / 10))::int as bin from cells a join cells b on a.cell_id <> b.cell_id and b.x > a.x - 30 and b.x < a.x + 30 and (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) < 900),
+    i as (select ta, tb, bin, {geo.disk_rect_sql("ax", "ay", "((bin+1)*10.0::double)", v.BBOX)} - case when bin > 0 then {geo.disk_rect_sql("ax", "ay", "greatest(bin*10.0::double, 1e-300)", v.BBOX)} else 0 end as area from p),
+    s as (select ta, tb, bin, count(*) as n, sum(case when area > 1e-9 then 1.0 / area else 0 end) as s from i group by 1, 2, 3)
+    select ks.a as type_a, ks.b as type_b, k.i::int as bin, coalesce(s.n, 0)::bigint as n_pairs, coalesce(s.s, 0) / (x.n::double * y.n / {AREA!r}) as g from ks cross join range(3) k(i) join cnt x on x.type_id = ks.a join cnt y on y.type_id = ks.b left join s on s.ta = ks.a and s.tb = ks.b and s.bin = k.i""",
+    "g",
+)
+def pcf_matrix_edge_corrected(spark, sf):
+    """The same as the binned matrix with rings cut by the window."""
+    return pcf.pcf_matrix_binned(v.cells(spark, sf), v.BBOX, 30.0, 3, v.TYPES, edge_corrected=True)
+
+
 @query("pcf_bin_membership", f"with {v.CELLS}, {_CROSS} select cell_id, bit_or(1::bigint << least(5, floor(sqrt(d2) / 10))::int) as bits from p group by 1")
 def pcf_bin_membership(spark, sf):
     """Which rings of a cell hold a neighbour."""
@@ -110,12 +149,6 @@ def pcf_matrix_binned(spark, sf):
     return pcf.pcf_matrix_binned(v.cells(spark, sf), v.BBOX, 30.0, 3, v.TYPES)
 
 
-@query("pcf_matrix_edge_corrected")
-def pcf_matrix_edge_corrected(spark, sf):
-    """The same with rings cut by the window."""
-    return pcf.pcf_matrix_binned(v.cells(spark, sf), v.BBOX, 30.0, 3, v.TYPES, edge_corrected=True)
-
-
 _MARK = f"rho as (select count(*)::double / {AREA!r} as rho from b), m as (select a.cell_id, a.x, a.y, coalesce(count(p.d2), 0)::double / {math.pi * 3600!r} / (select rho from rho) as m from a left join p on p.cell_id = a.cell_id group by 1, 2, 3)"
 
 

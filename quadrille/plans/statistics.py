@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quadrille import views as v
+from quadrille.checkpoints import saved
 from quadrille.functions import scales
-from quadrille.operators import inference, pcf, topology, vectors
+from quadrille.operators import envelopes, inference, pcf, topology, vectors
 from quadrille.operators.lattice import quadrats
-from quadrille.operators.range_join import within_radius
+from quadrille.operators.range_join import k_nearest, within_radius
 from quadrille.plans.registry import query
 from quadrille.plans.spatial import QUADRATS
 
@@ -50,6 +51,12 @@ def qcm_null(spark, sf):
     return inference.quadrat_null(quadrats(v.cells(spark, sf), v.BBOX, 250.0, v.TYPES), "type_id", "quadrat", "n", v.TYPES, 199)
 
 
+@query("qcm_null_swap")
+def qcm_null_swap(spark, sf):
+    """Quadrat correlations against tables with the same margins, reached by swaps."""
+    return inference.quadrat_null(quadrats(v.cells(spark, sf), v.BBOX, 250.0, v.TYPES), "type_id", "quadrat", "n", v.TYPES, 99, null="swap")
+
+
 _CURVES = "curves as (select user_id % 50 as sim, (epoch(ts)::bigint // 86400) % 7 as r, sum(value) as v from events group by 1, 2), whole as (select s.i as sim, k.i as r, coalesce(v, 0)::double as v from range(50) s(i) cross join range(7) k(i) left join curves on curves.sim = s.i and curves.r = k.i)"
 
 
@@ -59,13 +66,12 @@ def _curves(spark, sf):
     return frame.join(e.groupBy("sim", "r").agg(F.sum("value").alias("v")), ["sim", "r"], "left").fillna(0.0, ["v"])
 
 
-@query(
-    "rank_envelope",
-    f"""with {_CURVES}, k as (select sim, r, v, least(rank() over (partition by r order by v), rank() over (partition by r order by v desc)) as k from whole), o as (select sim, list_sort(list(k)) as ks from k group by 1), z as (select *, row_number() over (order by ks, sim) as n from o),
+_ENVELOPE = f"""with {_CURVES}, k as (select sim, r, v, least(rank() over (partition by r order by v), rank() over (partition by r order by v desc)) as k from whole), o as (select sim, list_sort(list(k)) as ks from k group by 1), z as (select *, row_number() over (order by ks, sim) as n from o),
     p as (select count(*) filter (where ks <= (select ks from o where sim = 0))::double / count(*) as p from o), band as (select r, min(v) as lo, max(v) as hi from whole where sim in (select sim from z where n > 5) group by 1)
-    select r, v as observed, lo, hi, p, v < lo or v > hi as exits from whole join band using (r), p where sim = 0""",
-    "observed lo hi p",
-)
+    select r, v as observed, lo, hi, p, v < lo or v > hi as exits from whole join band using (r), p where sim = 0"""
+
+
+@query("rank_envelope", _ENVELOPE, "observed lo hi p")
 def rank_envelope(spark, sf):
     """Global envelope of curves."""
     return inference.rank_envelope(_curves(spark, sf), 0.1)
@@ -84,11 +90,44 @@ def auc(spark, sf):
 def pcf_bootstrap(spark, sf):
     """Block bootstrap of a pair correlation."""
     c = v.cells(spark, sf)
-    pairs = within_radius(c.where("type_id = 0").select("cell_id", "x", "y"), c.where("type_id = 1").select("x", "y"), 60.0)
-    bins = pairs.groupBy("a_cell_id", "a_x", "a_y", F.least(F.lit(5), F.floor(F.sqrt("d2") / 10)).cast("int").alias("bin")).agg(F.count("*").cast("double").alias("v"))
-    frame = c.where("type_id = 0").select(F.col("cell_id").alias("a_cell_id"), "x", "y").crossJoin(spark.range(6).select(F.col("id").cast("int").alias("bin")))
-    held = frame.join(bins.select("a_cell_id", "bin", "v"), ["a_cell_id", "bin"], "left").fillna(0.0, ["v"])
-    return inference.block_bootstrap(held, F.floor(F.col("y") / 100) * 100 + F.floor(F.col("x") / 100), 199)
+    a, b = c.where("type_id = 0"), c.where("type_id = 1")
+    pairs = within_radius(a.select("cell_id", "x", "y"), b.select("x", "y"), 60.0).withColumn("bin", pcf.ring_of(60.0, 6))
+    bins = pairs.groupBy("a_cell_id", "bin").agg(F.count("*").cast("double").alias("n"))
+    frame = a.select(F.col("cell_id").alias("a_cell_id"), "x", "y").crossJoin(spark.range(6).select(F.col("id").cast("int").alias("bin")))
+    rho = b.agg((F.count("*") / ((X1 - X0) * (Y1 - Y0))).alias("rho"))
+    ring = (2 * F.col("bin") + 1) * (100 * np.pi)
+    held = frame.join(bins, ["a_cell_id", "bin"], "left").crossJoin(F.broadcast(rho)).withColumn("v", F.coalesce("n", F.lit(0.0)) / ring / F.col("rho"))
+    nx, ny = (int(np.ceil(side / 100)) for side in (X1 - X0, Y1 - Y0))
+    place = lambda c, low, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((F.col(c) - low) / 100)))
+    return inference.block_bootstrap(held, place("y", Y0, ny) * nx + place("x", X0, nx), nx * ny, 6, 199)
+
+
+@query("pcf_envelope")
+def pcf_envelope(spark, sf):
+    """Pair correlation of two types against rigid shifts of one of them."""
+    c = v.cells(spark, sf)
+    curves = envelopes.shifted_pcf(c.where("type_id = 0"), c.where("type_id = 1"), v.BBOX, 40.0, 4, 19)
+    return inference.rank_envelope(curves, 0.1)
+
+
+@query("pcf_envelope_label")
+def pcf_envelope_label(spark, sf):
+    """The same against labels dealt anew over both types."""
+    c = v.cells(spark, sf)
+    return inference.rank_envelope(envelopes.relabelled_pcf(c.where("type_id = 0"), c.where("type_id = 1"), v.BBOX, 20.0, 4, 19), 0.1)
+
+
+@query("spectrum_envelope")
+def spectrum_envelope(spark, sf):
+    """Co-location modes against labels dealt anew over all cells."""
+    c = v.cells(spark, sf).withColumnRenamed("type_id", "channel")
+    return inference.rank_envelope(envelopes.spectra(c, v.BBOX, 16, 16, 300.0, 2, 9), 0.2)
+
+
+@query("envelope_excursions", f"select r, observed, case when observed > hi then hi else lo end as bound, observed > hi as above from ({_ENVELOPE}) e where exits", "observed bound")
+def envelope_excursions(spark, sf):
+    """Where a curve leaves its envelope, and on which side."""
+    return inference.excursions(inference.rank_envelope(_curves(spark, sf), 0.1))
 
 
 _KNN = "kn as (select a.id as i, b.id as j, sqrt(list_inner_product(a.v, a.v) - 2 * list_inner_product(a.v, b.v) + list_inner_product(b.v, b.v)) as d0, list_distance(a.v, b.v) as d from vectors a join vectors b on a.id <> b.id), kr as (select i, j, d, row_number() over (partition by i order by d, j) as rank from kn)"
@@ -131,13 +170,7 @@ def topk_offer(spark, sf):
 
 
 _S = f"with {v.SITES}, sd as (select a.id as i, b.id as j, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) as d from sites a join sites b on a.id <> b.id)"
-_RHO = "rk as (select i, d, row_number() over (partition by i order by d, j) as k from sd), rho as (select i, d as rho from rk where k = 4)"
-
-
-def _distances(spark, sf):
-    s = v.sites(spark, sf)
-    a, b = s.select(F.col("id").alias("i"), "x", "y"), s.select(F.col("id").alias("j"), F.col("x").alias("u"), F.col("y").alias("w"))
-    return a.join(b, F.col("i") != F.col("j")).select("i", "j", F.sqrt((F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("w")) * (F.col("y") - F.col("w"))).alias("d"))
+_RHO = "rk as (select i, d, row_number() over (partition by i order by d, j) as k from sd), rho as (select i, d as rho from rk where k = 4), near as (select s.i, s.j, s.d, a.rho, b.rho as sigma from sd s join rho a on a.i = s.i join rho b on b.i = s.j where d <= 3 * greatest(a.rho, b.rho))"
 
 
 @query("fuzzy_adjacency", f"with {v.CELLS} select a.cell_id as i, b.cell_id as j, exp(-((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) / 200) as mu from cells a join cells b on a.cell_id <> b.cell_id and b.x between a.x - 30 and a.x + 30 and (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 900", "mu")
@@ -148,19 +181,17 @@ def fuzzy_adjacency(spark, sf):
     return p.select(F.col("a_cell_id").alias("i"), F.col("b_cell_id").alias("j"), F.exp(-F.col("d2") / 200).alias("mu"))
 
 
-def _rho(spark, sf):
-    from pyspark.sql import Window
-
-    d = _distances(spark, sf)
-    return d.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where("k = 4").select("i", F.col("d").alias("rho"))
-
-
 def _with_rho(spark, sf):
-    rho = _rho(spark, sf)
-    return _distances(spark, sf).join(rho, "i").join(rho.select(F.col("i").alias("j"), F.col("rho").alias("sigma")), "j")
+    """Pairs of sites within three times the larger of their distances to the fourth neighbour: i, j, d, rho, sigma."""
+    sites = v.sites(spark, sf)
+    rho = saved(k_nearest(sites, sites, 4, 5.0, "id", "id", exclude_self=True).where("rank = 4").select("id", F.col("d").alias("rho")))
+    widest = rho.agg(F.max("rho")).first()[0]
+    held = sites.join(rho, "id")
+    pairs = within_radius(held, held, 3 * widest, closed=True).where("a_id <> b_id").withColumn("d", F.sqrt("d2"))
+    return pairs.where(F.col("d") <= 3 * F.greatest("a_rho", "b_rho")).select(F.col("a_id").alias("i"), F.col("b_id").alias("j"), "d", F.col("a_rho").alias("rho"), F.col("b_rho").alias("sigma"))
 
 
-@query("fuzzy_adjacency_adaptive", f"{_S}, {_RHO}, m as (select s.i, s.j, exp(-d * d / (2 * greatest(1e-6, a.rho) * greatest(1e-6, a.rho))) as a, exp(-d * d / (2 * greatest(1e-6, b.rho) * greatest(1e-6, b.rho))) as b from sd s join rho a on a.i = s.i join rho b on b.i = s.j) select i, j, a + b - a * b as mu from m", "mu")
+@query("fuzzy_adjacency_adaptive", f"{_S}, {_RHO}, m as (select i, j, exp(-d * d / (2 * greatest(1e-6, rho) * greatest(1e-6, rho))) as a, exp(-d * d / (2 * greatest(1e-6, sigma) * greatest(1e-6, sigma))) as b from near) select i, j, a + b - a * b as mu from m", "mu")
 def fuzzy_adjacency_adaptive(spark, sf):
     """Memberships with each point's own width."""
     of = lambda c: F.exp(-F.col("d") * F.col("d") / (2 * F.greatest(F.lit(1e-6), F.col(c)) * F.greatest(F.lit(1e-6), F.col(c))))
@@ -168,7 +199,7 @@ def fuzzy_adjacency_adaptive(spark, sf):
     return m.select("i", "j", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("mu"))
 
 
-_CK = f"{_S}, {_RHO}, ck as (select s.i, s.j, d / sqrt(a.rho * b.rho) as d from sd s join rho a on a.i = s.i join rho b on b.i = s.j)"
+_CK = f"{_S}, {_RHO}, ck as (select i, j, d / sqrt(rho * sigma) as d from near)"
 
 
 def _cknn(spark, sf):
@@ -294,7 +325,8 @@ def trustworthiness(spark, sf):
     """How well two principal components keep neighbourhoods."""
     x = v.vectors(spark, sf)
     low = vectors.pca(x, 2)[0].select("id", F.col("scores").alias("v"))
-    return vectors.trustworthiness(vectors.ranks(x), vectors.knn(low, 10), 10)
+    near = vectors.knn(low, 10)
+    return vectors.trustworthiness(vectors.ranks_of(x, near), near, 10)
 
 
 @query("epochs_per_sample", f"{_CK}, w as (select i, j, exp(-d * d) as w from ck where d < 2) select i, j, max(w) over () / w as e from w", "e", 4)
@@ -317,6 +349,15 @@ def rips_h0(spark, sf):
     return topology.rips(_nations(spark, sf), 1e9)
 
 
+_NAT = "s as (select c_nationkey as id, avg(c_acctbal) as x, stddev_pop(c_acctbal) as y from customer group by 1), e as (select a.id as i, b.id as j from s a join s b on a.id < b.id where sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 40)"
+
+
+@query("betti_components", f"with recursive {_NAT}, l as (select i, j from e union all select j, i from e), r as (select id, id as seen from s union select r.id, l.j from r join l on l.i = r.seen), c as (select id, min(seen) as label from r group by 1) select 0::int as dim, count(distinct label) as n from c")
+def betti_components(spark, sf):
+    """Components of the nations at a scale, from the persistence diagram."""
+    return topology.betti(topology.rips(_nations(spark, sf), 1e9, dims=1), 40.0).where("dim = 0")
+
+
 @query("betti_numbers")
 def betti_numbers(spark, sf):
     """Classes alive at a scale."""
@@ -354,19 +395,6 @@ def psd_defect(spark, sf):
     return v.table(spark, sf, "customer").agg(F.greatest(F.lit(0.0), -F.min("c_acctbal") / F.max(F.abs("c_acctbal"))).alias("defect"))
 
 
-@query("null_mean_gram")
-def null_mean_gram(spark, sf):
-    """Mean overlap of two types' pair counts when labels are dealt at random: pairs * nA nB / (n (n - 1))."""
-    from quadrille.operators.contact import contact_pairs
-
-    c = v.cells(spark, sf)
-    n = c.groupBy("type_id").agg(F.count("*").alias("n"))
-    total = c.agg(F.count("*").cast("double").alias("all")).crossJoin(contact_pairs(c, 20.0).agg(F.count("*").cast("double").alias("pairs")))
-    both = n.toDF("type_a", "na").crossJoin(F.broadcast(n.toDF("type_b", "nb"))).crossJoin(F.broadcast(total))
-    same = F.when(F.col("type_a") == F.col("type_b"), F.col("nb") - 1).otherwise(F.col("nb"))
-    return both.select("type_a", "type_b", (2 * F.col("pairs") * F.col("na") * same / (F.col("all") * (F.col("all") - 1))).alias("expected"))
-
-
 @query("permute_marks")
 def permute_marks(spark, sf):
     """Types dealt anew over the cells, by sorting both sides of a zip on hashes."""

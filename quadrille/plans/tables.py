@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
 from quadrille import views as v
+from quadrille.checkpoints import folder
 from quadrille.functions import algebra, masks, scales
 from quadrille.functions import geometry as geo
 from quadrille.operators import density, lattice
@@ -69,8 +71,10 @@ _X = "x as (select l_suppkey as cell, l_linenumber as var, sum(l_quantity) as va
 
 @query("matrix_read", f"with {_X} select cell, var::int as var, value from x", "value")
 def matrix_read(spark, sf):
-    """A sparse matrix as long rows."""
-    return _x(spark, sf).select("cell", F.col("var").cast("int").alias("var"), "value")
+    """A sparse matrix, stored as compressed rows, as long rows."""
+    path = f"{folder(spark)}/matrix-{uuid.uuid4().hex}"
+    matrices.to_csr(_x(spark, sf), "cell", "var", "value").write.parquet(path)
+    return matrices.read_matrix(spark, path).select("cell", F.col("var").cast("int").alias("var"), "value")
 
 
 @query("sparse_select_columns", f"with {_X}, n as (select count(*) as n from supplier), w as (select * from (values (0, 3), (1, 1), (2, 3), (3, 99)) w(place, var)) select c.i as cell, w.place, w.var, coalesce(value, 0) as value from (select unnest(range(n)) as i from n) c cross join w left join x on x.cell = c.i and x.var = w.var", "value")
@@ -294,12 +298,12 @@ def _pairwise(name, column, text, rounded="r"):
     return run
 
 
-_pairwise("add_fields", lambda: algebra.added(F.col("v"), F.col("u"))[3], "v[4] + u[4]")
-_pairwise("sub_fields", lambda: algebra.subtracted(F.col("v"), F.col("u"))[3], "v[4] - u[4]")
-_pairwise("scale_field", lambda: algebra.scaled(F.col("v"), 2.5)[3], "v[4] * 2.5")
-_pairwise("mul_scalar", lambda: F.col("v")[0] * F.col("u")[0], "v[1] * u[1]")
+_pairwise("add_fields", lambda: algebra.added(F.col("v"), F.col("u")), "list_transform(list_zip(v, u), lambda z: z[1] + z[2])", "")
+_pairwise("sub_fields", lambda: algebra.subtracted(F.col("v"), F.col("u")), "list_transform(list_zip(v, u), lambda z: z[1] - z[2])", "")
+_pairwise("scale_field", lambda: algebra.scaled(F.col("v"), 2.5), "list_transform(v, lambda x: x * 2.5)", "")
+_pairwise("mul_scalar", lambda: F.zip_with("v", "u", lambda a, b: a * b), "list_transform(list_zip(v, u), lambda z: z[1] * z[2])", "")
 _pairwise("dot_fields", lambda: algebra.dot(F.col("v"), F.col("u")), "list_inner_product(v, u)")
-_pairwise("normalize_field", lambda: algebra.normalized(F.col("v"))[3], "v[4] / sqrt(list_inner_product(v, v))")
+_pairwise("normalize_field", lambda: F.transform(algebra.normalized(F.col("v")), lambda x: F.round(x, 6) + F.lit(0.0)), "list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6) + 0.0::double)", "")
 _pairwise("magnitude", lambda: algebra.norm(F.col("v")), "sqrt(list_inner_product(v, v))")
 
 

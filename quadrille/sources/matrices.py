@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.checkpoints import saved
+from quadrille.operators.lattice import exclusive_scan
+
 
 def select_columns(x: DataFrame, n_cells: int, wanted: list[int]) -> DataFrame:
     """Wanted columns densely: cell, place (in ``wanted``), var, value; absent or unknown variables are 0, repeats are copied.
@@ -25,9 +28,32 @@ def column_stats(x: DataFrame) -> DataFrame:
 def to_csr(edges: DataFrame, row: str, col: str, weight: str) -> DataFrame:
     """Per row: begin (entries of the rows before), columns in order and their weights."""
     lists = edges.groupBy(row).agg(F.sort_array(F.collect_list(F.struct(F.col(col).alias("c"), F.col(weight).alias("w")))).alias("e"))
-    sizes = lists.withColumn("n", F.size("e"))
-    before = Window.partitionBy(F.lit(0)).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(F.col(row).alias("row"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"), F.col("e.c").alias("columns"), F.col("e.w").alias("weights"))
+    sizes = exclusive_scan(saved(lists.withColumn("n", F.size("e"))), row, "n")
+    return sizes.select(F.col(row).alias("row"), F.col("scan").alias("begin"), F.col("e.c").alias("columns"), F.col("e.w").alias("weights"))
+
+
+def read_matrix(spark: SparkSession, path: str, wanted: list[int] | None = None) -> DataFrame:
+    """A stored matrix as long rows cell, var, value: rows of sorted columns and weights (csr), columns of sorted rows and
+    weights (csc), or one array for each row (dense). ``wanted``: variables; of a csc or long matrix only their rows are read."""
+    held = spark.read.parquet(path)
+    names = set(held.columns)
+    if {"row", "columns", "weights"} <= names:
+        long = held.select(F.col("row").alias("cell"), F.explode(F.arrays_zip("columns", "weights")).alias("e")).select("cell", F.col("e.columns").alias("var"), F.col("e.weights").alias("value"))
+    elif {"col", "rows", "weights"} <= names:
+        held = held.where(F.col("col").isin(wanted)) if wanted is not None else held
+        long = held.select(F.col("col").alias("var"), F.explode(F.arrays_zip("rows", "weights")).alias("e")).select(F.col("e.rows").alias("cell"), "var", F.col("e.weights").alias("value"))
+    elif {"cell", "values"} <= names:
+        long = held.select("cell", F.posexplode("values").alias("var", "value")).where("value <> 0")
+    elif {"cell", "var", "value"} <= names:
+        long = held.select("cell", "var", "value")
+    else:
+        raise ValueError(f"no matrix has the columns {sorted(names)}")
+    return long.where(F.col("var").isin(wanted)) if wanted is not None else long
+
+
+def column_cost(encoding: str, wanted: int, variables: int) -> float:
+    """Share of a stored matrix that is read for some of its variables: all of it by rows, their own columns otherwise."""
+    return 1.0 if encoding in ("csr", "dense") else min(1.0, wanted / variables) if variables else 0.0
 
 
 def write_embedding(df: DataFrame, path: str, n_cells: int, force: bool = False) -> None:
