@@ -183,8 +183,8 @@ def pca(vectors: DataFrame, k: int, standardise: bool = False) -> tuple[DataFram
     return scores, rows, explained
 
 
-def assign(samples: DataFrame, centroids: list[list[float]], weight: str | None = None) -> DataFrame:
-    """id, label of the nearest centroid (the lower on ties; -1 for weight 0), d2. The centroids are part of the plan."""
+def _labelled(samples: DataFrame, centroids: list[list[float]], weight: str | None = None) -> DataFrame:
+    """The samples with their label and d2."""
     gaps = []
     for c in centroids:
         gap = F.zip_with("v", F.array(*[F.lit(float(x)) for x in c]), lambda a, b: a - b)
@@ -193,16 +193,22 @@ def assign(samples: DataFrame, centroids: list[list[float]], weight: str | None
     label = F.array_position("_d", F.array_min("_d")) - 1
     if weight:
         label = F.when(F.col(weight) > 0, label).otherwise(-1)
-    return held.select("id", label.cast("int").alias("label"), F.array_min("_d").alias("d2"))
+    return held.withColumns({"label": label.cast("int"), "d2": F.array_min("_d")}).drop("_d")
+
+
+def assign(samples: DataFrame, centroids: list[list[float]], weight: str | None = None) -> DataFrame:
+    """id, label of the nearest centroid (the lower on ties; -1 for weight 0), d2. The centroids are part of the plan."""
+    return _labelled(samples, centroids, weight).select("id", "label", "d2")
 
 
 def lloyd(samples: DataFrame, centroids: list[list[float]], rounds: int, weight: str | None = None) -> list[list[float]]:
-    """Lloyd's rounds from given centroids; an empty cluster keeps its centroid. K x D numbers reach the driver."""
+    """Lloyd's rounds from given centroids; an empty cluster keeps its centroid. K x D numbers reach the driver.
+
+    A round is one scan: labels are expressions of the row, sums are partial before the shuffle of K x D rows."""
     w = F.col(weight) if weight else F.lit(1.0)
     held = samples.select("id", "v", w.alias("_w"))
     for _ in range(rounds):
-        labels = assign(held, centroids)
-        long = held.join(labels, "id").select("label", "_w", F.posexplode("v").alias("dim", "x"))
+        long = _labelled(held, centroids).select("label", "_w", F.posexplode("v").alias("dim", "x"))
         sums = long.groupBy("label", "dim").agg(F.sum(F.col("x") * F.col("_w")).alias("s"), F.sum("_w").alias("w")).collect()
         new = [list(c) for c in centroids]
         for r in sums:

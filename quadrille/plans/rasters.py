@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quadrille import views as v
+from quadrille.functions.geometry import disk_rect_area, disk_rect_sql
 from quadrille.operators import density, grids, lattice, pcf, wand
 from quadrille.operators.range_join import k_nearest
 from quadrille.plans.registry import query
@@ -446,20 +447,33 @@ def gray_scott_step(spark, sf):
     return grids.gray_scott(_state(spark, sf), 1)
 
 
-@query("gray_scott_run")
+def _scott_sql(steps: int) -> str:
+    """Chained steps, each the SQL of one."""
+    step = lambda k: f"s{k + 1} as materialized (select o.row, o.col, o.u + 0.16 * (e.u + w.u + s.u + n.u - 4 * o.u) - o.u * o.v * o.v + 0.035 * (1 - o.u) as u, o.v + 0.08 * (e.v + w.v + s.v + n.v - 4 * o.v) + o.u * o.v * o.v - 0.1 * o.v as v from {_near(f's{k}')})"
+    return f"{G}, {_RD}, s0 as materialized (select * from rd), {', '.join(map(step, range(steps)))} select * from s{steps}"
+
+
+@query("gray_scott_run", _scott_sql(12), "u v")
 def gray_scott_run(spark, sf):
     """Twelve steps."""
     return grids.gray_scott(_state(spark, sf), 12, every=4)
 
 
-@query("annulus_mask_domain")
-def annulus_mask_domain(spark, sf):
-    """Area of a disk of 150 about each cell of type 0 within the pixels of a mask."""
-    from quadrille.functions.geometry import disk_rect_area
+_SX, _SY = (X1 - X0) / N, (Y1 - Y0) / N
+_MASKED = f"""{G}, mask as (select row, col, {X0!r}::double + col * {_SX!r}::double as px, {Y1!r}::double - (row + 1) * {_SY!r}::double as py from grid where v > 3),
+    near as (select cell_id, c.x - px as dx, c.y - py as dy from cells c join mask on c.type_id = 0 and c.x between px - 150 and px + {_SX!r} + 150 and c.y between py - 150 and py + {_SY!r} + 150),
+    part as (select cell_id, {disk_rect_sql('dx', 'dy', '150.0::double', (0.0, 0.0, _SX, _SY))} as area from near)
+    select cell_id, coalesce(sum(area), 0) as area from cells left join part using (cell_id) where type_id = 0 group by 1"""
 
+
+@query("annulus_mask_domain", _MASKED, "area", 4)
+def annulus_mask_domain(spark, sf):
+    """Area of a disk of 150 about each cell of type 0 within the pixels of a mask; 0 where it meets none."""
     sx, sy = (X1 - X0) / N, (Y1 - Y0) / N
     mask = v.grid(spark, sf).where("v > 3").select("row", "col")
-    near = density.deposits(_two(spark, sf)[0], v.BBOX, N, N, 150.0 + max(sx, sy), ["cell_id", "x", "y"]).join(F.broadcast(mask), ["row", "col"])
+    points = _two(spark, sf)[0]
+    near = density.deposits(points, v.BBOX, N, N, 150.0 + max(sx, sy), ["cell_id", "x", "y"]).join(F.broadcast(mask), ["row", "col"])
     # the pixel moved to the origin stands for the pixel where it lies
     px, py = F.col("x") - (X0 + F.col("col") * sx), F.col("y") - (Y1 - (F.col("row") + 1) * sy)
-    return near.groupBy("cell_id").agg(F.sum(disk_rect_area(px, py, F.lit(150.0), (0.0, 0.0, sx, sy))).alias("area"))
+    sums = near.groupBy("cell_id").agg(F.sum(disk_rect_area(px, py, F.lit(150.0), (0.0, 0.0, sx, sy))).alias("area"))
+    return points.select("cell_id").join(sums, "cell_id", "left").fillna(0.0, ["area"])

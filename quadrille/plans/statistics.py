@@ -273,11 +273,22 @@ def assign_nearest(spark, sf):
     return vectors.assign(v.vectors(spark, sf), _CEN).groupBy("label").agg(F.count("*").alias("n"), F.avg("d2").alias("mse"))
 
 
-@query("lloyd_fixed_init")
+def _lloyd_sql(rounds: int) -> str:
+    """Chained rounds: nearest centroid of each vector, then means by label and dimension; an empty cluster keeps its own."""
+    steps = ["c0 as materialized (select label, c from cen)", "long as materialized (select id, unnest(v) as x, generate_subscripts(v, 1) as d from vectors)"]
+    for k in range(rounds):
+        steps.append(f"p{k} as materialized (select id, arg_min(label, (d2, label)) as label from (select id, n.label, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d2 from vectors cross join c{k} n) q group by 1)")
+        steps.append(f"m{k} as (select label, list(x order by d) as c from (select label, d, avg(x) as x from p{k} join long using (id) group by 1, 2) q group by 1)")
+        steps.append(f"c{k + 1} as materialized (select o.label, coalesce(m.c, o.c) as c from c{k} o left join m{k} m using (label))")
+    rounded = "list_transform(c, lambda x: round(x, 6) + 0.0::double)"
+    return f"{V}, {_CENSQL}, {', '.join(steps)} select label::int as label, {rounded} as centroid from c{rounds}"
+
+
+@query("lloyd_fixed_init", _lloyd_sql(5))
 def lloyd_fixed_init(spark, sf):
     """Centroids after five rounds from fixed starts."""
     out = vectors.lloyd(v.vectors(spark, sf), _CEN, 5)
-    return spark.createDataFrame(list(enumerate(out)), "label int, centroid array<double>")
+    return spark.createDataFrame(list(enumerate(out)), "label int, centroid array<double>").withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6) + F.lit(0.0)))
 
 
 @query("emeans")
@@ -370,10 +381,24 @@ def sublevel_persistence(spark, sf):
     return topology.sublevel(v.typed_grid(spark, sf, 16).withColumnRenamed("channel", "grid_id"))
 
 
-@query("field_betti")
+# components by the least pixel reached; loops by Euler's formula, as a raster has no closed surfaces
+_FIELD = f"""with recursive {v.typed_grid_sql(16)}, p as (select channel as g, row, col, row * 16 + col as id from (select *, avg(v) over (partition by channel) as level from tgrid) q where v <= level),
+    e as (select a.g, a.id as i, b.id as j from p a join p b on a.g = b.g and ((b.row = a.row and b.col = a.col + 1) or (b.row = a.row + 1 and b.col = a.col))),
+    l as (select g, i, j from e union all select g, j, i from e),
+    r as (select g, id, id as seen from p union select r.g, r.id, l.j from r join l on l.g = r.g and l.i = r.seen),
+    comp as (select g, count(distinct least_id) as n from (select g, id, min(seen) as least_id from r group by 1, 2) q group by 1),
+    squares as (select a.g, count(*) as n from p a join p b on a.g = b.g and b.row = a.row + 1 and b.col = a.col join p c on a.g = c.g and c.row = a.row and c.col = a.col + 1 join p d on a.g = d.g and d.row = a.row + 1 and d.col = a.col + 1 group by 1),
+    count0 as (select g, count(*) as n from p group by 1), count1 as (select g, count(*) as n from e group by 1),
+    b as (select g, comp.n as b0, comp.n - count0.n + coalesce(count1.n, 0) - coalesce(squares.n, 0) as b1 from comp join count0 using (g) left join count1 using (g) left join squares using (g))
+    select g as grid_id, 0::int as dim, b0::bigint as n from b union all select g, 1::int, b1::bigint from b where b1 > 0"""
+
+
+@query("field_betti", _FIELD)
 def field_betti(spark, sf):
-    """Classes alive at a value."""
-    return sublevel_persistence(spark, sf).where("birth <= 10 and death > 10").groupBy("grid_id", "dim").agg(F.count("*").alias("n"))
+    """Classes alive at the mean of each raster."""
+    grid = v.typed_grid(spark, sf, 16).withColumnRenamed("channel", "grid_id")
+    held = topology.sublevel(grid).join(F.broadcast(grid.groupBy("grid_id").agg(F.avg("v").alias("level"))), "grid_id")
+    return held.where("birth <= level and death > level").groupBy("grid_id", "dim").agg(F.count("*").alias("n"))
 
 
 _SYM = "m as (select c_nationkey as i, o_orderdate::date - date '1995-01-01' as k, o_totalprice as t from customer join orders on c_custkey = o_custkey), a as (select i, (k % 25)::int as j, sum(t) / 1e6 as v from m group by 1, 2), f as (select r.i::int as i, c.i::int as j, coalesce(v, 0) as v from range(25) r(i) cross join range(25) c(i) left join a on a.i = r.i and a.j = c.i)"
