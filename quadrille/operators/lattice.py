@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.checkpoints import saved
+
 Box = tuple[float, float, float, float]
 
 
@@ -69,12 +71,20 @@ def dense_counts(points: DataFrame, box: Box, width: int, height: int, by: str |
     return spine(points, **axes).join(counts, keys, "left").fillna(0, ["n"])
 
 
-def exclusive_scan(df: DataFrame, order: str, value: str, parts: int = 64) -> DataFrame:
+def in_ranges(df: DataFrame, *order: str, parts: int | None = None, name: str = "_part") -> DataFrame:
+    """The rows dealt to ranges of ``order``, ascending, with the number of the range; as many as there are shuffle partitions.
+
+    Stored, as a second evaluation may draw other bounds from its sample. Rows of equal order share a range."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(df.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()))
+
+
+def exclusive_scan(df: DataFrame, order: str, value: str, parts: int | None = None) -> DataFrame:
     """Adds scan, the sum of ``value`` over all rows before in ``order``, and total.
 
     Two passes: rows are range-partitioned, each range is summed, and a range starts from the sums before it, so no
     window runs over the whole table. Rows of equal order share a range and count in the order of their values."""
-    ranged = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    ranged = in_ranges(df, order, parts=parts)
     sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
     every = Window.partitionBy(F.lit(0)).orderBy("_part")
     starts = sums.select("_part", F.coalesce(F.sum("_sum").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_sum").over(Window.partitionBy(F.lit(0))).alias("total"))

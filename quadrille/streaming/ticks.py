@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.checkpoints import saved
+from quadrille.operators.lattice import in_ranges
 
 
 def _by(keys: tuple[str, ...], order: tuple[str, ...]) -> Window:
@@ -36,21 +37,40 @@ def delayed_cubic(x: str, lag: float, keys: tuple[str, ...], order: tuple[str, .
 
 
 def one_pole(series: DataFrame, tau: float, dt: float = 1.0, keys: tuple[str, ...] = ("key",), order: tuple[str, ...] = ("t",), x: str = "x") -> DataFrame:
-    """Adds y: y += (1 - exp(-dt / tau)) (x - y), from the first value on.
+    """Adds y: y += (1 - exp(-dt / tau)) (x - y), from the first value on. From a missing value on, y is missing.
 
-    Each key is folded in order; keys run in parallel, and a key's series is one group."""
-    gain = 1 - math.exp(-dt / tau)
+    Keys and their rows are dealt to ranges, so a long series is no single task. Each piece of a series is folded as if it
+    began there; with c before it, y at its n-th row differs by exp(-n dt / tau) (c - first x). Only series that cross a
+    bound of two ranges need c, which gives at most two rows for each range."""
+    decay = math.exp(-dt / tau)
+    held = in_ranges(series, *keys, *order)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
+        pdf = pdf.sort_values(list(order), kind="stable")
         y, out = None, []
         for v in pdf[x].tolist():
-            y = v if y is None else y + gain * (v - y)
+            y = v if y is None else y + (1 - decay) * (v - y)
             out.append(y)
-        return pdf.assign(y=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema.fields)
-    return series.groupBy(*keys).applyInPandas(run, f"{schema}, y double")
+        return pdf.assign(y=out, _n=range(1, len(out) + 1))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
+    folded = held.groupBy("_part", *keys).applyInPandas(run, f"{schema}, y double, _n long")
+    piece = folded.groupBy("_part", *keys).agg(F.coalesce(F.min_by("y", "_n"), F.lit(math.nan)).alias("first"), F.coalesce(F.max_by("y", "_n"), F.lit(math.nan)).alias("last"), F.max("_n").alias("n"))
+    pieces = piece.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_part", "first", "last", "n"))).alias("ps")).where(F.size("ps") > 1)
+    begin = F.struct(F.lit(None).cast("double").alias("y"), F.expr("cast(array() as array<struct<part:int,gap:double>>)").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        gap = acc["y"] - p["first"]
+        y = F.coalesce(p["last"] + F.pow(F.lit(decay), p["n"]) * gap, p["last"])
+        return F.struct(y.alias("y"), F.concat(acc["out"], F.array(F.struct(p["_part"].alias("part"), gap.alias("gap")))).alias("out"))
+
+    gaps = pieces.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(F.aggregate("ps", begin, step)["out"]).alias("g"))
+    on = F.col("_part") == F.col("g.part")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    shift = F.coalesce(F.pow(F.lit(decay), F.col("_n")) * F.col("g.gap"), F.lit(0.0))
+    y = F.col("y") + shift
+    return folded.join(F.broadcast(gaps), on, "left").select(*series.columns, F.when(~F.isnan(y), y).alias("y"))
 
 
 def one_pole_stream(stream: DataFrame, tau: float, dt: float = 1.0, key: str = "key", order: str = "t", x: str = "x") -> DataFrame:

@@ -75,6 +75,29 @@ def test_scan_over_ranges(spark):
     assert got == np.concatenate([[0], np.cumsum([i % 3 for i in range(499)])]).tolist()
 
 
+def test_scan_of_rows_with_other_columns(spark):
+    """More rows than the sample of a range partitioning holds, so that a second one would have other bounds."""
+    df = spark.range(400_000, numPartitions=4).select(F.xxhash64("id").alias("i"), (F.col("id") % 3).alias("v"), F.col("id").cast("string").alias("s"))
+    total, bad, _ = lattice.exclusive_scan(df, "i", "v", 16).selectExpr("total", "scan", "s", "sum(v) over (order by i) - v as want").agg(F.max("total"), F.count_if(F.expr("scan <> want")), F.max("s")).first()
+    assert (total, bad) == (399_999, 0)
+
+
+def test_long_series_cross_ranges(spark):
+    rows = [(k, t, float((t * 7 + len(k or "")) % 11)) for k, n in (("hot", 900), ("b", 40), (None, 60)) for t in range(n)] + [("gap", t, None if t == 200 else 1.0) for t in range(400)]
+    df = spark.createDataFrame(rows, "key string, t long, x double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = {(r.key, r.t): r.y for r in ticks.one_pole(df, 40.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(rows)
+    y: dict = {}
+    for k, t, x in rows:
+        y[k] = x if t == 0 else None if x is None or y[k] is None else y[k] + (1 - math.exp(-1 / 40)) * (x - y[k])
+        assert got[k, t] is None if y[k] is None else abs(got[k, t] - y[k]) < 1e-9, (k, t)
+
+
 def test_partial_correlations():
     r = np.array([[1, 0.5, np.nan], [0.5, 1, np.nan], [np.nan, np.nan, np.nan]])
     p = inference.partial_correlation(r)
