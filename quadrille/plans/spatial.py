@@ -219,7 +219,8 @@ _NN = f"nn as (select a.cell_id, sqrt(min((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b
 @query("nn_distance", f"with {v.CELLS}, {_NN} select * from nn", "d")
 def nn_distance(spark, sf):
     """Distance to the nearest other cell."""
-    return k_nearest(v.cells(spark, sf), v.cells(spark, sf), 1, 10.0, "cell_id", "cell_id", exclude_self=True).select("cell_id", "d")
+    c = v.cells(spark, sf)
+    return k_nearest(c, c, 1, 10.0, "cell_id", "cell_id", exclude_self=True).select("cell_id", "d")
 
 
 @query("nn_distance_indexed", f"with {v.CELLS}, {_NN} select cell_id, case when d <= 20 then d else 'infinity'::double end as d from nn", "d")
