@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.operators.range_join import self_pairs
+from quadrille.operators.range_join import k_nearest
 
 
 def nearest_within(points: DataFrame, radius: float, id_col: str = "cell_id") -> DataFrame:
     """Distance to the nearest other point if it lies within the radius, else infinity."""
-    pairs = self_pairs(points.select(id_col, "x", "y"), radius, id_col, closed=True)
-    both = pairs.select(F.col(f"a_{id_col}").alias(id_col), "d2").unionAll(pairs.select(f"b_{id_col}", "d2"))
-    least = both.groupBy(id_col).agg(F.sqrt(F.min("d2")).alias("d"))
-    return points.select(id_col).join(least, id_col, "left").fillna(float("inf"), ["d"])
+    near = k_nearest(points, points, 1, radius, id_col, id_col, exclude_self=True).where(F.col("d") <= radius)
+    # every point once more, at infinity, instead of a join that might broadcast them
+    both = near.select(id_col, "d").unionAll(points.select(id_col, F.lit(float("inf"))))
+    return both.groupBy(id_col).agg(F.min("d").alias("d"))
 
 
 def anni(distances: DataFrame, area: float, d: str = "d") -> DataFrame:
