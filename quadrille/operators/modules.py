@@ -10,6 +10,14 @@ from quadrille.checkpoints import saved
 from quadrille.operators.vectors import covariance, moving_means
 
 
+def bin_size(molecules: DataFrame, per_bin: float = 750.0) -> float:
+    """Side of square bins that hold ``per_bin`` molecules on average over the extent of the molecules."""
+    m = molecules.agg(F.count("*").alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area")).first()
+    if not m["n"] or not m["area"]:
+        raise ValueError("the molecules have no extent")
+    return float((per_bin * m["area"] / m["n"]) ** 0.5)
+
+
 def binned(molecules: DataFrame, size: float, min_gene: int = 30, min_bin: int = 20, target: float = 1e4) -> DataFrame:
     """Entries of the matrix of bins and genes: bin (x and y steps), code, n, value = log(1 + n target / molecules of the bin).
 

@@ -81,3 +81,14 @@ def test_forces_of_close_bodies(spark, tmp_path, name):
     assert got.keys() == want.keys()
     assert all(got[i] == pytest.approx(want[i], abs=1e-9, nan_ok=True) for i in want)
     assert np.isnan(got[2]).all() and np.isnan(got[3]).all() and not np.isnan(got[0]).any()
+
+
+def test_thin_genes(spark, tmp_path):
+    """A table whose bins of side 20 hold too few molecules: wider bins instead of an error."""
+    rng = np.random.Generator(np.random.PCG64(6))
+    n = 6000
+    rows = [(int(x), int(y), int(c), float(q), "N") for x, y, c, q in zip(rng.integers(0, 4000, n), rng.integers(0, 4000, n), rng.integers(1, 8, n), rng.integers(1, 51, n), strict=True)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = plans.queries()["gene_embedding"](spark, str(tmp_path)).collect()
+    assert len(found) == 21 and sum(r.molecules for r in found) == n
+    assert sorted(r.code for r in plans.queries()["gene_modules"](spark, str(tmp_path)).collect()) == sorted(r.code for r in found)
