@@ -5,9 +5,10 @@ from __future__ import annotations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille import plans
-from quadrille.operators import neighbours, range_join
+from quadrille.operators import envelopes, neighbours, pcf, range_join
 
 POINTS = "cell_id long, x double, y double"
 
@@ -92,3 +93,23 @@ def test_thin_genes(spark, tmp_path):
     found = plans.queries()["gene_embedding"](spark, str(tmp_path)).collect()
     assert len(found) == 21 and sum(r.molecules for r in found) == n
     assert sorted(r.code for r in plans.queries()["gene_modules"](spark, str(tmp_path)).collect()) == sorted(r.code for r in found)
+
+
+def test_labels_without_a_sort_of_all(spark):
+    """The points at given ranks of each order, and as many labels of each kind as before; no pair is stored."""
+    n = 3000
+    c = spark.range(n).select(F.col("id").alias("cell_id"), (F.pmod(F.xxhash64("id"), F.lit(1000)) * 1.0).alias("x"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) * 1.0).alias("y"), F.pmod(F.col("id"), F.lit(3)).cast("int").alias("channel"))
+    sims = spark.range(1, 4).select(F.col("id").cast("int").alias("sim"))
+    got = envelopes.cuts(c, sims, [1, 1000, 3000], "cell_id", 7)
+    for s in (1, 2, 3):
+        order = [(r.h, r.cell_id) for r in c.select("cell_id", F.xxhash64("cell_id", F.lit(s), F.lit(7)).alias("h")).orderBy("h", "cell_id").collect()]
+        assert got[s] == [order[0], order[999], order[2999]]
+    box = (0.0, 0.0, 1000.0, 1000.0)
+    a, b = c.where("channel = 0"), c.where("channel = 1")
+    curves = envelopes.relabelled_pcf(a, b, box, 30.0, 3, 70)  # more than one pass holds
+    want = [r.g for r in pcf.cross_pcf(a, b, box, 30.0, 3).orderBy("bin").collect()]
+    assert [r.v for r in curves.where("sim = 0").orderBy("r").collect()] == pytest.approx(want)
+    every = curves.where("sim > 0").groupBy("r").agg(F.avg("v").alias("m"), F.stddev("v").alias("sd")).collect()
+    assert curves.count() == 71 * 3 and all(abs(r.m - 1) < 0.1 and r.sd > 0 for r in every)
+    plan = envelopes.spectra(c, box, 4, 4, 300.0, 2, 3)
+    assert plan.count() == 12 and plan.where("sim = 0").agg(F.sum("v")).first()[0] == pytest.approx(1.0)
