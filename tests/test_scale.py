@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille import plans
-from quadrille.operators import envelopes, neighbours, pcf, range_join
+from quadrille.operators import envelopes, neighbours, pcf, range_join, vectors
 
 POINTS = "cell_id long, x double, y double"
 
@@ -113,3 +113,21 @@ def test_labels_without_a_sort_of_all(spark):
     assert curves.count() == 71 * 3 and all(abs(r.m - 1) < 0.1 and r.sd > 0 for r in every)
     plan = envelopes.spectra(c, box, 4, 4, 300.0, 2, 3)
     assert plan.count() == 12 and plan.where("sim = 0").agg(F.sum("v")).first()[0] == pytest.approx(1.0)
+
+
+def test_vectors_by_blocks(spark):
+    """Neighbours and ranks over several blocks as by brute force, ties included; values that are floats are sent as floats."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    for x in (rng.integers(-2, 3, (700, 4)).astype(float), rng.normal(size=(700, 4))):
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+        np.fill_diagonal(d, np.inf)
+        order = np.lexsort((np.broadcast_to(np.arange(700), d.shape), d), axis=1)
+        near = vectors.knn(df, 5, block_rows=300)
+        got = near.orderBy("i", "rank").toPandas()
+        assert (got["j"].to_numpy().reshape(700, 5) == order[:, :5]).all()
+        place = np.argsort(order, axis=1) + 1
+        asked = near.select("i", (F.pmod(F.col("j") * 7 + F.col("i"), F.lit(700))).alias("j")).where("i <> j").distinct()
+        ranks = vectors.ranks_of(df, asked, block_rows=300).toPandas()
+        assert len(ranks) == asked.count() and (ranks["rank"].to_numpy() == place[ranks["i"], ranks["j"]]).all()
+        assert ("as array<float>" in near._jdf.queryExecution().optimizedPlan().toString()) == (x == x.round()).all()
