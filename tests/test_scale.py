@@ -131,3 +131,15 @@ def test_vectors_by_blocks(spark):
         ranks = vectors.ranks_of(df, asked, block_rows=300).toPandas()
         assert len(ranks) == asked.count() and (ranks["rank"].to_numpy() == place[ranks["i"], ranks["j"]]).all()
         assert ("as array<float>" in near._jdf.queryExecution().optimizedPlan().toString()) == (x == x.round()).all()
+
+
+def test_own_radius(spark):
+    """Pairs by the wider end of each; one wide point leaves the others their own lattice."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    xy, w = rng.uniform(0, 30, (400, 2)), rng.choice([0.0, 0.25, 0.5, 1.1, 9.0], 400, p=[0.1, 0.4, 0.3, 0.19, 0.01])
+    xy[1], w[:2] = xy[0], 0.0
+    c = spark.createDataFrame([(i, float(x), float(y), float(r)) for i, ((x, y), r) in enumerate(zip(xy, w, strict=True))], "id long, x double, y double, w double")
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
+    want = {(i, j) for i, j in np.argwhere(d <= 3 * np.maximum(w[:, None], w[None])).tolist() if i != j}
+    rows = [(r.i, r.j) for r in range_join.within_own_radius(c, "w", 3.0).collect()]
+    assert len(rows) == len(want) and set(rows) == want
