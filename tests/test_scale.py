@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrille import plans
 from quadrille.operators import envelopes, neighbours, pcf, range_join, vectors
+from quadrille.sources import matrices
 
 POINTS = "cell_id long, x double, y double"
 
@@ -143,3 +144,9 @@ def test_own_radius(spark):
     want = {(i, j) for i, j in np.argwhere(d <= 3 * np.maximum(w[:, None], w[None])).tolist() if i != j}
     rows = [(r.i, r.j) for r in range_join.within_own_radius(c, "w", 3.0).collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_about_without_the_graph(spark, sf, monkeypatch):
+    """What is known of a graph doesn't wait for its edges."""
+    monkeypatch.setattr(matrices, "write_graph", None)
+    assert {tuple(r) for r in plans.queries()["sink_uns"](spark, sf).collect()} == {("radius", "20"), ("method", "radius")}
