@@ -150,3 +150,10 @@ def test_about_without_the_graph(spark, sf, monkeypatch):
     """What is known of a graph doesn't wait for its edges."""
     monkeypatch.setattr(matrices, "write_graph", None)
     assert {tuple(r) for r in plans.queries()["sink_uns"](spark, sf).collect()} == {("radius", "20"), ("method", "radius")}
+
+
+@pytest.mark.parametrize("name", ["contact_edges", "fuzzy_adjacency"])
+def test_pairs_are_dealt_out(spark, sf, name):
+    """The pairs of a table whose file is small are not all listed by the few tasks that read it."""
+    plan = plans.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
